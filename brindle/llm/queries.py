@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media
+from . import bpe, media, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_bpe": bpe.query,
         "op4_media": media.query,
+        "op8_toxicity": toxicity.query,
     }
 
 
