@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, toxicity
+from . import bpe, licenses, media, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_urls": urls.query,
         "op3_bpe": bpe.query,
         "op4_media": media.query,
         "op8_toxicity": toxicity.query,
+        "op9_licenses": licenses.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_urls": urls.SQL,
+        "op9_licenses": licenses.SQL,
+    }
