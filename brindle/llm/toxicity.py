@@ -1,8 +1,8 @@
 """Toxicity: a linear-chain conditional random field tags toxic words; its marginals give document scores.
 
 Labels are given per document, so training first labels tokens: a word counts as toxic if it is common among
-toxic training documents and next to absent from clean ones, which grouped counts over all training rows say.
-The field is then fitted on windows of words from a bounded sample of training documents (`SAMPLE_DOCS` of
+toxic training documents and next to absent from clean ones, which grouped counts over the training rows say
+(about `TRAIN_DOCS` of either label, at most).  The field is then fitted on windows of words from a bounded sample of training documents (`SAMPLE_DOCS` of
 either label, at most).  A chain is at most `CHAIN` consecutive words of one line; forward-backward gives the
 probability that each word is toxic.  A document's evidence is the logarithm of how unlikely it is that no word
 is toxic; its score is a logistic function of that, fitted to the sampled documents at their true rate.  Words
@@ -29,7 +29,8 @@ from .common import row_batches, table
 
 WORD = re.compile(r"\w+")
 CHAIN = 64
-SAMPLE_DOCS = 3000  # of either label
+TRAIN_DOCS = 150_000  # labelled rows of either label whose words are counted, about; more are sampled by hash
+SAMPLE_DOCS = 3000  # of either label, whose windows fit the field
 WINDOWS = 24_000  # aimed at; a document gives 4 to 40
 LEXICON = 50_000  # most frequent candidate words
 DIMENSIONS = 1 << 17
@@ -266,36 +267,44 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     """
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(marked, "doc_id")
-    have = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.lit(1 << 20)
+    for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect():
+        share = F.when(F.col("toxic") == r["toxic"], F.lit(int((1 << 20) * min(1.0, TRAIN_DOCS / r["n"])))).otherwise(share)
+    rank = F.xxhash64("doc_id")
+    marked = marked.where(F.pmod(rank, F.lit(1 << 20)) < share)
+    ids = docs.select("doc_id").join(F.broadcast(marked), "doc_id")
+    have = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = have.get(1, 0), have.get(0, 0)
     if not toxic or not clean:
         return None
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marked), "doc_id")
     least = max(2 if toxic < 200 else 4, toxic // 1000)
     bad = {r["word"]: r["n"] for r in _count(rows.where("toxic = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(LEXICON).collect()}
     good = {r["word"]: r["n"] for r in _count(rows.where("toxic = 0"), set(bad)).collect()}
     lexicon = {w for w, n in bad.items() if n / toxic > 20 * (good.get(w, 0) + 0.02 * n) / clean and good.get(w, 0) <= 0.02 * n}
-    rank = F.xxhash64(F.col("doc_id"))
-    picked = [rows.where(F.col("toxic") == x).orderBy(rank, "doc_id").limit(SAMPLE_DOCS).select("text") for x in (1, 0)]
+    picked = [r["doc_id"] for x in (1, 0) for r in ids.where(F.col("toxic") == x).distinct().orderBy(rank, "doc_id").limit(SAMPLE_DOCS).collect()]
+    chosen = docs.sparkSession.createDataFrame([(x,) for x in picked], docs.select("doc_id").schema)
+    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "toxic")
     sizes = [min(toxic, SAMPLE_DOCS), min(clean, SAMPLE_DOCS)]
     each = min(40, max(4, WINDOWS // sum(sizes)))
-    found = [r["words"] for x in picked for r in x.mapInArrow(_windows(lexicon, each), "words array<string>").collect()]
-    field = fit([(words, [int(w in lexicon) for w in words]) for words in found if words])
-    raw = [np.array([r["x"] for r in _evidence(x, field).collect()]) for x in picked]
-    y = np.concatenate((np.ones(len(raw[0])), np.zeros(len(raw[1]))))
-    weight = np.concatenate((np.full(len(raw[0]), toxic / sizes[0]), np.full(len(raw[1]), clean / sizes[1])))
-    return field | {"score": calibrate(np.concatenate(raw), y, weight)}
+    found = [r["words"] for r in sample.mapInArrow(_windows(lexicon, each), "words array<string>").collect()]
+    field = fit([(words, [int(w in lexicon) for w in words]) for words in sorted(found) if words])
+    raw = sorted((r["toxic"], r["x"]) for r in _evidence(sample, field).collect())
+    y, x = np.array([float(t) for t, _ in raw]), np.array([v for _, v in raw])
+    weight = np.where(y > 0, toxic / max(1, y.sum()), clean / max(1, (1 - y).sum()))
+    return field | {"score": calibrate(x, y, weight)}
 
 
-def _evidence(texts: DataFrame, field: dict) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(field)
+def _evidence(sample: DataFrame, field: dict) -> DataFrame:
+    shared = sample.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         for b in row_batches(batches, 4 << 20):
-            yield pa.RecordBatch.from_arrays([pa.array([evidence(p) for p in tagger.tag(b.column(0).to_pylist())], pa.float64())], ["x"])
+            x = [evidence(p) for p in tagger.tag([t or "" for t in b.column(0).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.float64())], ["toxic", "x"])
 
-    return texts.mapInArrow(run, "x double")
+    return sample.mapInArrow(run, "toxic int, x double")
 
 
 def _scorer(shared):
