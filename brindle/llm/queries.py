@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, media, toxicity, urls
+from . import bpe, leaks, licenses, media, repeats, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_urls": urls.query,
         "op3_bpe": bpe.query,
         "op4_media": media.query,
+        "op6_leaks": leaks.query,
+        "op7_repeats": repeats.query,
         "op8_toxicity": toxicity.query,
         "op9_licenses": licenses.query,
     }
@@ -22,5 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_urls": urls.SQL,
+        "op7_repeats": repeats.SQL,
         "op9_licenses": licenses.SQL,
     }
