@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, leaks, licenses, media, repeats, toxicity, urls
+from . import bpe, leaks, licenses, media, neardup, repeats, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_repeats": repeats.query,
         "op8_toxicity": toxicity.query,
         "op9_licenses": licenses.query,
+        "op10_neardup": neardup.query,
     }
 
 
