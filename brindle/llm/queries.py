@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, leaks, licenses, media, neardup, repeats, toxicity, urls
+from . import bpe, langid, leaks, licenses, media, neardup, pseudo, repeats, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_urls": urls.query,
+        "op2_langid": langid.query,
         "op3_bpe": bpe.query,
         "op4_media": media.query,
+        "op5_pseudo": pseudo.query,
         "op6_leaks": leaks.query,
         "op7_repeats": repeats.query,
         "op8_toxicity": toxicity.query,
