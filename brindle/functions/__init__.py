@@ -1 +1 @@
-"""Functions."""
+"""Values, predicates and orders as Spark columns."""

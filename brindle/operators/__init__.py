@@ -1 +1 @@
-"""Operators."""
+"""Operators on collections: relations, change tracking, conflicts, attachments and migrations."""

@@ -1 +1 @@
-"""Plans."""
+"""Query builders that compile to one DataFrame plan."""

@@ -1 +1 @@
-"""Sources."""
+"""Storage: a commit log of manifests over immutable Parquet segments."""
