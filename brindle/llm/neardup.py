@@ -283,9 +283,10 @@ def _salted(key: Column, blocks: Column) -> Column:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, n_shingles, class_id, n_links, component_id) for every row of `docs`.
+    """(doc_id, th, n_shingles, class_id, root, n_links, component_id) for every row of `docs`.
 
-    `th` is the text's hash; `class_id` the class of equal sets (null for the empty set); `n_links` the number of
+    `th` is the text's hash; `class_id` the class of equal sets (null for the empty set); `root` the smallest class
+    of the component; `n_links` the number of
     verified links of its class that held components together; `component_id` the smallest doc_id that links reach.
     """
     ids = docs.schema["doc_id"].dataType.simpleString()
@@ -319,9 +320,9 @@ def join(docs: DataFrame) -> DataFrame:
     member = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "low", F.coalesce("root", "cls").alias("root"))
     lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
     counts = edges.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-    found = member.join(lowest, "root").join(counts, "cls", "left").select(F.col("cls").alias("class_id"), "component_id", "n_links")
+    found = member.join(lowest, "root").join(counts, "cls", "left").select(F.col("cls").alias("class_id"), "root", "component_id", "n_links")
     out = rows.select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id")).join(found, "class_id", "left")
-    return out.select("doc_id", "th", "n_shingles", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "th", "n_shingles", "class_id", "root", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,17 +331,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component: that with the smallest doc_id; rows that repeat it go too."""
-    found = written(join(docs).select("doc_id", "th", "class_id", "component_id"), "components")
-    gone = found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "th").distinct()
+    """One row of each component: that with the smallest doc_id (nulls last, then by text hash).
+
+    Rows with the empty set all stay.  Of rows that repeat an id and a text one stays.
+    """
+    found = written(join(docs).select("doc_id", "th", "root").where("root is not null"), "components")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    first = found.groupBy("root").agg(F.min(rank).alias("first"))
+    gone = found.join(first, "root").where(rank != F.col("first")).select("doc_id", "th").distinct()
     gone = small_side(gone, gone.count(), 24).alias("g")
     text = F.xxhash64(F.col("d.text").cast("string"))
     same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (text == F.col("g.th"))
     kept = docs.alias("d").join(gone, same, "left_anti")
-    again = found.where("class_id is not null and doc_id is not null and doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    if again.isEmpty():
+    again = found.groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th")
+    if again.join(first.select("first.doc_id", "first.th"), ["doc_id", "th"], "left_semi").isEmpty():
         return kept
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    sets = kept.withColumn("_n", F.when(F.col("doc_id").isNotNull() & (F.length(F.trim("text")) > 0), F.row_number().over(first)).otherwise(1))
-    return sets.where("_n = 1").drop("_n")
-
+    repeats = Window.partitionBy("doc_id", "_th").orderBy("_th")
+    marked = kept.withColumn("_th", F.xxhash64(F.col("text").cast("string"))).withColumn("_n", F.row_number().over(repeats))
+    empty = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike("[^ \\t-\\r]")
+    return marked.where((F.col("_n") == 1) | empty).drop("_n", "_th")
