@@ -111,6 +111,8 @@ class Index:
             _, back, n = np.unique(item * rows + (at - place + self.reach + shift) // wide, return_inverse=True, return_counts=True)
             alive |= n[back] >= self.need.min()
         at, item, place = at[alive], item[alive], place[alive]
+        if not len(at):
+            return {}
         text = np.searchsorted(starts, at, side="right") - 1
         order = np.argsort(text, kind="stable")
         found, first = np.unique(text[order], return_index=True)
@@ -121,15 +123,17 @@ class Index:
         diagonal = at - place
         out = []
         for n in np.unique(item).tolist():
-            own = item == n
-            d, p = diagonal[own], place[own]
+            d, p = diagonal[item == n], place[item == n]
             for r in range(self.of_item[n], self.of_item[n + 1]):
                 _, lo, hi = self.region[r]
-                inside = d[(p >= lo) & (p + Q <= hi)]
+                own = (p >= lo) & (p + Q <= hi)
+                if own.sum() < self.need[r]:
+                    continue
                 step = int(self.k[r]) + 1
-                bands = inside // step
-                both = np.concatenate((bands, bands - 1))
-                band, count = np.unique(both, return_counts=True)
+                bands = d[own] // step
+                # a place in the item counts once in a band, however often the text repeats its q-gram
+                both = np.unique(np.concatenate((bands, bands - 1)) * self.reach + np.tile(p[own], 2))
+                band, count = np.unique(both // self.reach, return_counts=True)
                 out += [(r, b * step) for b in band[count >= self.need[r]].tolist()]
         return out
 
@@ -179,6 +183,7 @@ def align(pattern: bytes, text: bytes, k: int, low: int) -> tuple[int, int, int]
     pad[max(0, -low) : max(0, -low) + len(t)] = t[: len(pad) - max(0, -low)]
     start = low + max(0, -low)
     cols = np.arange(width)
+    up, above = np.full(width, far), np.zeros(width, np.int64)
     place = low + cols
     cost = np.where((place >= 0) & (place <= len(t)), 0, far)
     begin = place.copy()
@@ -186,10 +191,10 @@ def align(pattern: bytes, text: bytes, k: int, low: int) -> tuple[int, int, int]
         letters = pad[start + i : start + i + width]
         new = cost + (letters != c)
         src = begin
-        up = np.append(cost[1:], far) + 1
+        up[:-1], above[:-1] = cost[1:] + 1, begin[1:]
         better = up < new
         new = np.where(better, up, new)
-        src = np.where(better, np.append(begin[1:], 0), src)
+        src = np.where(better, above, src)
         run = (new - cols) * (width + 1) + cols  # the cheapest cell to the left, with its column
         best = np.minimum.accumulate(run)
         from_ = best % (width + 1)
