@@ -13,8 +13,9 @@ Each band also has a bit sketch: every shingle flips one bit, so the Hamming dis
 difference and most chance pairs end there.  What is left is verified on the texts.
 
 Equal sets are one class and are never paired.  Within a bucket of classes every class is first compared with the
-bucket's smallest one; connected classes are then contracted, and in buckets that still hold several components
-all pairs across components are compared, block by block within tasks, so that large groups of near copies give
+bucket's smallest one; connected classes are contracted, and buckets that still hold several components are
+compared with another class that a hash picks; in buckets that hold several even then all pairs across components
+are compared, block by block within tasks, so that large groups of near copies give
 links in proportion to their size and yet no link that joins two components is missed.  A key's share of all rows
 is bounded: a class has a row in each of its parts.  Components come from alternating star contractions.
 
@@ -41,6 +42,7 @@ SHINGLE = 4
 PERCENT = 85
 GROWTH = 1.5
 SURPLUS = 0.25
+ROUNDS = 3  # of star comparisons, the last one being that of all pairs across components
 CHUNK = 2048  # classes of a bucket that a task compares with as many others at a time
 CACHED_WORDS = 1 << 20
 U = np.uint64
@@ -91,7 +93,7 @@ class Band:
         self.number, self.top = number, top
         self.apart = most_apart(top, largest_partner(top))
         self.parts = self.apart + 1 + math.ceil(SURPLUS * self.apart)
-        self.log_bits = max(6, (top - 1).bit_length())
+        self.log_bits = max(6, (top - 1).bit_length() + 2)  # about one shingle to four bits or more: few cancel out
 
 
 _bands: list[Band] = []
@@ -302,17 +304,27 @@ def join(docs: DataFrame) -> DataFrame:
     star = shared.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
     links = _linked(star, classes, docs, "star")
 
-    roots = contract(links, rounds=2)
-    held = shared.join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    held = written(held, "held")
-    split = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo <> hi")
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    held = shared.select("key", "cls")
+    for seed in range(1, ROUNDS + 1):
+        roots = contract(links, rounds=2)
+        held = held.select("key", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+        pick = F.min_by(F.struct("cls", "root"), F.xxhash64("cls", F.lit(seed))).alias("pick")
+        split = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("g"), pick).where("lo <> hi")
+        held = written(held.join(split.select("key", "g", "pick"), "key"), f"held-{seed}")
+        if seed == ROUNDS:
+            break
+        new = held.where(F.col("root") != F.col("pick.root")).select(F.least("cls", "pick.cls").alias("a"), F.greatest("cls", "pick.cls").alias("b")).distinct()
+        new = written(new.join(tried, ["a", "b"], "left_anti"), f"star-{seed}")
+        tried = tried.unionAll(new)
+        links = links.unionAll(_linked(new, classes, docs, f"star-{seed}"))
+
     blocks = F.ceil(F.col("g") / CHUNK).cast("int")
-    open_ = held.join(split.select("key", blocks.alias("blocks")), "key").withColumn("block", _salted(F.col("cls"), F.col("blocks")))
+    open_ = held.withColumn("blocks", blocks).withColumn("block", _salted(F.col("cls"), F.col("blocks")))
     open_ = open_.join(classes.select("cls", "n", "sketches"), "cls")
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "root", "n", "sketches")
     across = open_.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across, "a bigint, b bigint").distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _linked(across.join(tried, ["a", "b"], "left_anti"), classes, docs, "across", sifted=True)
 
     edges = written(links.unionAll(more).distinct(), "edges")
