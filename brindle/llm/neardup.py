@@ -44,7 +44,7 @@ GROWTH = 1.5
 SURPLUS = 0.25
 ROUNDS = 3  # of star comparisons, the last one being that of all pairs across components
 CHUNK = 2048  # classes of a bucket that a task compares with as many others at a time
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 16
 U = np.uint64
 MIX = (U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
 
@@ -143,7 +143,7 @@ _FEATURES = "n bigint, cls bigint, sketches array<struct<band:int,bits:binary>>"
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.binary())]))
-    for b in row_batches(batches):
+    for b in row_batches(batches, 2 << 20):
         sets = [shingles(x) for x in b.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
@@ -159,7 +159,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()  # classes that this task has given already
-    for b in row_batches(batches, 4 << 20):
+    for b in row_batches(batches, 2 << 20):
         keys, owners = [np.empty(0, U)], [np.empty(0, np.int64)]
         for text in b.column(0).to_pylist():
             h = shingles(text)
