@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_batches, table
+from .common import row_batches, table, worker_state
 
 END = "Ā"  # stands for the end of a word after its last byte
 PIECE = 1 << 20  # characters of a text that are split into words at a time, cut before white space
-CACHED_WORDS = 1 << 19
-CACHED_PAIRS = 1 << 21
+CACHED_WORDS = 1 << 18
+CACHED_PAIRS = 1 << 20
 
 
 def load(path: str) -> dict:
@@ -263,15 +263,9 @@ class Codec:
             yield data[:-1] if lo + len(part) == len(all_ids) else data
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def _codec(name: str, spec) -> Codec:
     """This worker's codec: built once from the broadcast vocabulary."""
-    if name not in _codecs:
-        _codecs.clear()
-        _codecs[name] = Codec(spec.value)
-    return _codecs[name]
+    return worker_state(("bpe", name), lambda: Codec(spec.value))
 
 
 def _mapper(name: str, spec, digests: bool):

@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import string
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +66,20 @@ def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+_state: dict[Hashable, Any] = {}
+
+
+def worker_state(owner: Hashable, make: Callable[[], Any] = dict) -> Any:
+    """What this Python process keeps between tasks for `owner`, made when first asked for.
+
+    Workers are used again by later stages, so what another owner left is let go first.
+    """
+    if owner not in _state:
+        _state.clear()
+        _state[owner] = make()
+    return _state[owner]
+
+
 def row_batches(batches: Iterable[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `most` bytes, so that long texts don't pile up in a worker."""
     for batch in batches:

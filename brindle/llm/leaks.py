@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_batches, table
+from .common import row_batches, table, worker_state
 
 Q = 8
 EDITS = 0.1
@@ -211,6 +211,7 @@ def align(pattern: bytes, text: bytes, k: int, low: int) -> tuple[int, int, int]
 
 def _finder(shared, column: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("leaks")
         index = shared.value
         for b in row_batches(batches, 2 << 20):
             texts = [normalise(x or "") for x in b.column(column).to_pylist()]

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import row_batches, small_side, table, written
+from .common import row_batches, small_side, table, worker_state, written
 
 SHINGLE = 4
 PERCENT = 85
@@ -48,8 +48,6 @@ CACHED_WORDS = 1 << 16
 U = np.uint64
 MIX = (U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
 
-_words: dict[bytes, int] = {}
-
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A fixed bijective scramble of 64-bit numbers."""
@@ -63,13 +61,14 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, U)
-    new = set(words).difference(_words)
-    if len(_words) + len(new) > CACHED_WORDS:
-        _words.clear()
+    known = worker_state("words")
+    new = set(words).difference(known)
+    if len(known) + len(new) > CACHED_WORDS:
+        known.clear()
         new = set(words)
     for w in new:
-        _words[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_words.__getitem__, words), U, len(words))
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    h = np.fromiter(map(known.__getitem__, words), U, len(words))
     k = min(SHINGLE, len(h))
     out = np.full(len(h) - k + 1, k, U)
     for i in range(k):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_batches, table
+from .common import row_batches, table, worker_state
 
 WORD = re.compile(r"\w+")
 CHAIN = 64
@@ -36,7 +36,7 @@ LEXICON = 50_000  # most frequent candidate words
 DIMENSIONS = 1 << 17
 REACH = 7  # words on either side in a training window
 FOLDS = 5
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 18
 
 
 def held_out(doc_id: Column) -> Column:
@@ -226,12 +226,13 @@ def spans(text: str, p: np.ndarray) -> list[dict]:
 
 def _count_words(only: set[str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("toxicity")
         counts: Counter[str] = Counter()
         for b in row_batches(batches):
             for text in b.column(0).to_pylist():
                 found = set(WORD.findall((text or "").lower()))
                 counts.update(found if only is None else found & only)
-            if len(counts) > 1 << 20:
+            if len(counts) > CACHED_WORDS:
                 yield pa.RecordBatch.from_arrays([pa.array([*counts]), pa.array([*counts.values()], pa.int64())], ["word", "n"])
                 counts.clear()
         yield pa.RecordBatch.from_arrays([pa.array([*counts], pa.string()), pa.array([*counts.values()], pa.int64())], ["word", "n"])
@@ -299,8 +300,9 @@ def _evidence(sample: DataFrame, field: dict) -> DataFrame:
     shared = sample.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("toxicity")
         tagger = Tagger(shared.value)
-        for b in row_batches(batches, 4 << 20):
+        for b in row_batches(batches, 2 << 20):
             x = [evidence(p) for p in tagger.tag([t or "" for t in b.column(0).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.float64())], ["toxic", "x"])
 
@@ -309,8 +311,9 @@ def _evidence(sample: DataFrame, field: dict) -> DataFrame:
 
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("toxicity")
         tagger = Tagger(shared.value)
-        for b in row_batches(batches, 4 << 20):
+        for b in row_batches(batches, 2 << 20):
             texts = [x or "" for x in b.column(1).to_pylist()]
             tags = tagger.tag(texts)
             yield pa.RecordBatch.from_arrays(
@@ -351,8 +354,9 @@ def _keep_rows(docs: DataFrame, field: dict | None) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("toxicity")
         tagger = Tagger(shared.value)
-        for b in row_batches(batches, 4 << 20):
+        for b in row_batches(batches, 2 << 20):
             tags = tagger.tag([x or "" for x in b.column(at).to_pylist()])
             yield b.filter(pa.array([document_score(p, tagger.field) < 0.5 for p in tags], pa.bool_()))
 
