@@ -94,3 +94,4 @@ def row_batches(batches: Iterable[pa.RecordBatch], most: int = 8 << 20) -> Itera
             step = max(1, min(rows, int(rows * most / max(1, batch.nbytes))))
             for at in range(0, rows, step):
                 yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()  # the worker lives on
