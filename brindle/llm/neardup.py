@@ -19,6 +19,10 @@ are compared, block by block within tasks, so that large groups of near copies g
 links in proportion to their size and yet no link that joins two components is missed.  A key's share of all rows
 is bounded: a class has a row in each of its parts.  Components come from alternating star contractions.
 
+Linked classes share a component, so each class's links are counted there: within a component of three classes or
+more every pair whose sizes allow a link is compared on its shingles, block by block within tasks.  That work grows
+with the square of a component's classes, as its links can; rows are one for each class and block.
+
 Null or empty texts, and texts without words, have the empty set and link with nothing.  Rows that share an id
 but not the text are separate documents.  A group's id is its smallest non-null doc_id.
 """
@@ -44,6 +48,7 @@ GROWTH = 1.5
 SURPLUS = 0.25
 ROUNDS = 3  # of star comparisons, the last one being that of all pairs across components
 CHUNK = 2048  # classes of a bucket that a task compares with as many others at a time
+COUNTED, SET_BYTES = 512, 4 << 20  # classes of a component, and bytes of their sets, in a block whose links are counted
 CACHED_WORDS = 1 << 16
 U = np.uint64
 MIX = (U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
@@ -236,6 +241,61 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in last], pa.int64()), pa.array([p[1] for p in last], pa.int64())], ["a", "b"])
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in row_batches(batches, 2 << 20):
+        sets = [shingles(x).tobytes() for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["cls", "hashes"])
+
+
+def _between(left: list[np.ndarray], right: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """How many links each set has with those of the other list, or within its own; lists are in order of size."""
+    own, others = right is None, left if right is None else right
+    flat = np.unique(np.concatenate(left + ([] if own else others)), return_inverse=True)[1].ravel()
+    ends = np.cumsum([len(h) for h in left])
+    first = 0 if own else ends[-1]
+    sizes = np.array([len(h) for h in others])
+    starts = np.append(0, np.cumsum(sizes))
+    codes, marked = flat[first:], np.zeros(flat.max() + 1, np.uint8)
+    counts = np.zeros(len(left), np.int64), np.zeros(len(others), np.int64)
+    for x, h in enumerate(left):
+        n = len(h)
+        lo = x + 1 if own else np.searchsorted(sizes, -(-PERCENT * n // 100))
+        hi = np.searchsorted(sizes, largest_partner(n), "right")
+        if lo < hi:
+            mine = flat[ends[x] - n : ends[x]]
+            marked[mine] = 1
+            both = np.add.reduceat(marked[codes[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], dtype=np.int64)
+            marked[mine] = 0
+            linked = 100 * both >= PERCENT * (n + sizes[lo:hi] - both)
+            counts[0][x] += linked.sum()
+            counts[1][lo:hi] += linked
+    return counts
+
+
+def _count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, n_links) for the classes of each sorted run of equal (root, i, j)."""
+
+    def counted(rows: list[tuple]) -> pa.RecordBatch:
+        _, i, j = rows[0][:3]
+        sides = [sorted(((c, np.frombuffer(h, U)) for *_, block, c, h in rows if block == x), key=lambda y: len(y[1])) for x in sorted({i, j})]
+        classes, n = [c for side in sides for c, _ in side], np.empty(0, np.int64)
+        if all(sides):
+            sets = [[h for _, h in side] for side in sides]
+            a, b = _between(sets[0], sets[1] if len(sets) > 1 else None)
+            n = np.append(a, b) if len(sets) > 1 else a + b
+        return pa.RecordBatch.from_arrays([pa.array(classes[: len(n)], pa.int64()), pa.array(n)], ["cls", "n_links"])
+
+    rows: list[tuple] = []
+    for b in row_batches(batches, 2 << 20):
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if rows and rows[0][:3] != row[:3]:
+                yield counted(rows)
+                rows = []
+            rows.append(row)
+    if rows:
+        yield counted(rows)
+
+
 def contract(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root) for every node of `edges` (a, b) but the roots: alternating large-star and small-star steps.
 
@@ -267,29 +327,43 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str, si
         pairs = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sift, "a bigint, b bigint")
     pairs = written(pairs, f"{name}-pairs")
     involved = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).distinct()
+    texts = written(_texts(involved, classes, docs, name), f"{name}-texts")
+    one = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
+    two = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
+    return written(both.mapInArrow(_verify, "a bigint, b bigint"), f"{name}-links")
+
+
+def _texts(involved: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """(cls, text) of a document of each of the classes `involved`."""
     chosen = written(classes.join(involved, "cls").select("cls", "first.*"), f"{name}-chosen")
     chosen = small_side(chosen, chosen.count(), 40).alias("c")
     text = F.col("text").cast("string")
     d = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th")).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.th") == F.col("c.th"))
-    texts = written(d.join(chosen, same).select("cls", "text").dropDuplicates(["cls"]), f"{name}-texts")
-    one = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
-    return written(both.mapInArrow(_verify, "a bigint, b bigint"), f"{name}-links")
+    return d.join(chosen, same).select("cls", "text").dropDuplicates(["cls"])
+
+
+def _link_counts(member: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cls, n_links): with how many other classes each class of a component of several links."""
+    sizes = member.join(classes.select("cls", "n"), "cls").groupBy("root").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("bytes"))
+    sizes = sizes.select("root", "g", F.greatest(F.ceil(F.col("g") / COUNTED), F.ceil(F.col("bytes") * 8 / SET_BYTES)).cast("int").alias("blocks"))
+    held = written(member.select("cls", "root").join(sizes.where("g > 1"), "root"), "members")
+    several = held.where("g > 2")
+    sets = _texts(several.select("cls"), classes, docs, "count").mapInArrow(_sets, "cls bigint, hashes binary")
+    dealt = several.join(sets, "cls").withColumn("block", _salted(F.col("cls"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "hashes")
+    parts = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_count_links, "cls bigint, n_links bigint")
+    return parts.groupBy("cls").agg(F.sum("n_links").alias("n_links")).unionAll(held.where("g = 2").select("cls", F.lit(1).cast("bigint")))
 
 
 def _salted(key: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(7)), blocks).cast("int")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, n_shingles, class_id, root, n_links, component_id) for every row of `docs`.
-
-    `th` is the text's hash; `class_id` the class of equal sets (null for the empty set); `root` the smallest class
-    of the component; `n_links` the number of
-    verified links of its class that held components together; `component_id` the smallest doc_id that links reach.
-    """
+def components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What `join` starts from: the rows with their classes, the classes, and (cls, low, root) of each class."""
     ids = docs.schema["doc_id"].dataType.simpleString()
     text = F.col("text").cast("string")
     rows = written(docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(_features, f"doc_id {ids}, th bigint, {_FEATURES}"), "sets")
@@ -329,8 +403,19 @@ def join(docs: DataFrame) -> DataFrame:
     edges = written(links.unionAll(more).distinct(), "edges")
     roots = contract(edges)
     member = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "low", F.coalesce("root", "cls").alias("root"))
+    return rows, classes, written(member, "roots")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, n_shingles, class_id, root, n_links, component_id) for every row of `docs`.
+
+    `th` is the text's hash; `class_id` the class of equal sets (null for the empty set); `root` the smallest class
+    of the component; `n_links` the number of other classes that its class links with; `component_id` the smallest
+    doc_id that links reach.
+    """
+    rows, classes, member = components(docs)
     lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    counts = edges.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
+    counts = _link_counts(member, classes, docs)
     found = member.join(lowest, "root").join(counts, "cls", "left").select(F.col("cls").alias("class_id"), "root", "component_id", "n_links")
     out = rows.select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id")).join(found, "class_id", "left")
     return out.select("doc_id", "th", "n_shingles", "class_id", "root", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -346,7 +431,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows with the empty set all stay.  Of rows that repeat an id and a text one stays.
     """
-    found = written(join(docs).select("doc_id", "th", "root").where("root is not null"), "components")
+    rows, _, member = components(docs)
+    found = written(rows.select("doc_id", "th", "cls").join(member.select("cls", "root"), "cls").select("doc_id", "th", "root"), "components")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     first = found.groupBy("root").agg(F.min(rank).alias("first"))
     gone = found.join(first, "root").where(rank != F.col("first")).select("doc_id", "th").distinct()

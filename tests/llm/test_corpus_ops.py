@@ -98,6 +98,21 @@ def test_near_duplicates(documents, edges, none, monkeypatch):
     assert kept.columns == edges.columns and sorted(r["doc_id"] for r in kept.select("doc_id").collect() if r["doc_id"]) == [1, 2, 3, 5, 6, 7, 7]
 
 
+def test_every_link_counts(documents, monkeypatch):
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in (10, 50, 90)]
+    chain = [f"c{i}" for i in range(260)]
+    texts += [" ".join(chain[k : k + 200]) for k in range(0, 61, 6)] + ["a pair of texts that differ at the very end of their words so that they link " * 9 + x for x in ("one", "two")] + [texts[0], "alone"]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} or {tuple(w)} for w in (t.split() for t in texts)]
+    kinds = {frozenset(s) for s in sets}
+    want = [sum(100 * len(s & k) >= 85 * len(s | k) for k in kinds if k != s) for s in sets]
+    assert want[:3] == [2, 2, 2] and len(set(want[3:14])) > 1
+    for most in (512, 2):
+        monkeypatch.setattr(neardup, "COUNTED", most)
+        got = {r["doc_id"]: r["n_links"] for r in neardup.join(documents(texts)).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_signatures_lose_nothing():
     rnd = np.random.default_rng(1)
     for n in (6, 7, 9, 14, 30, 90, 300, 1500):
