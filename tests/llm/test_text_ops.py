@@ -116,6 +116,18 @@ def test_pseudo_likelihood(documents, edges, none):
     assert pseudo.score(none, pseudo.train(none)).count() == 0
 
 
+def test_rare_words_have_their_own_share(documents, monkeypatch):
+    monkeypatch.setattr(pseudo, "VOCABULARY", pseudo.OWN)
+    frequent = " ".join(f"w{i}" for i in range(pseudo.OWN))
+    docs = documents([f"x{i}ab" for i in range(1000)] + ["twice"] * 2 + [" ".join([frequent] * 3)])
+    model = pseudo.train(docs)
+    scores = {r["doc_id"]: r["score"] for r in pseudo.score(docs, model).collect()}
+    assert np.allclose([scores[i] for i in range(1000)], scores[0])
+    assert sum(np.exp(scores[i]) for i in range(1001)) < 1
+    unseen = pseudo.score(documents(["yyab", "x1ab"]), model).orderBy("doc_id").collect()
+    assert np.isclose(unseen[1]["score"], scores[1]) and np.isclose(unseen[1]["score"] - unseen[0]["score"], np.log(11))
+
+
 def _least_edits(p, t):
     row = [0] * (len(t) + 1)
     for i, c in enumerate(p, 1):
