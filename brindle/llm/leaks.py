@@ -1,7 +1,8 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts and benchmark items are normalised (lower case, words joined by single spaces) and taken as UTF-8 bytes.
-An item's regions are the whole item and overlapping windows of `WINDOW` bytes.  A region of m bytes that occurs
+An item's regions are the whole item and overlapping windows of the sizes and strides in `WINDOWS`; the shortest
+ones begin so closely that any verbatim part of 51 bytes (size plus stride less one) holds a whole one.  A region of m bytes that occurs
 in a text with at most k = EDITS * m edits shares at least m + 1 - q - q * k of its q-grams with it, all on at
 most k + 1 neighbouring diagonals.  So shared q-grams are counted in overlapping bands of diagonals, bands that
 reach the bound are kept, and a banded alignment verifies each.  Nothing is shuffled: the index of the items is
@@ -25,7 +26,7 @@ from .common import row_batches, table, worker_state
 
 Q = 8
 EDITS = 0.1
-WINDOW, STRIDE = 96, 48
+WINDOWS = ((96, 48), (48, 4))  # (size, stride), longest first
 LEAST = 40
 BLOCK_BYTES = 2 << 20
 BITS = 20
@@ -53,8 +54,10 @@ class Index:
             m = len(d)
             if m < LEAST:
                 continue
-            starts = sorted({*range(0, m - WINDOW, STRIDE), m - WINDOW}) if m > WINDOW else []
-            region += [(n, 0, m), *((n, s, s + WINDOW) for s in starts)]
+            region.append((n, 0, m))
+            for size, stride in WINDOWS:
+                if m > size:
+                    region += [(n, s, s + size) for s in sorted({*range(0, m - size, stride), m - size})]
             g = grams(d)
             codes.append(g)
             item.append(np.full(len(g), n))
@@ -124,11 +127,12 @@ class Index:
         out = []
         for n in np.unique(item).tolist():
             d, p = diagonal[item == n], place[item == n]
-            for r in range(self.of_item[n], self.of_item[n + 1]):
+            first, last = self.of_item[n : n + 2]
+            places = np.sort(p)
+            inside = np.searchsorted(places, self.region[first:last, 2] - Q, "right") - np.searchsorted(places, self.region[first:last, 1])
+            for r in (first + np.flatnonzero(inside >= self.need[first:last])).tolist():
                 _, lo, hi = self.region[r]
                 own = (p >= lo) & (p + Q <= hi)
-                if own.sum() < self.need[r]:
-                    continue
                 step = int(self.k[r]) + 1
                 bands = d[own] // step
                 # a place in the item counts once in a band, however often the text repeats its q-gram

@@ -173,3 +173,14 @@ def test_leaks(spark, documents, edges, none):
         pre = bytes(rnd.choice(b"xyz") for _ in range(rnd.randrange(6)))
         got, want = leaks.align(p, pre + bytes(e) + b"zzz", 4, len(pre) - 8), _least_edits(p, pre + bytes(e) + b"zzz")
         assert got[2] == want if want <= 4 else got is None
+
+
+def test_parts_of_items_are_found_wherever_cut(spark, documents):
+    rnd = random.Random(9)
+    say = lambda n, letters: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(2, 9))) for _ in range(n))
+    item, middle = say(60, "abcdefgh"), say(12, "abcdefgh")[:70]
+    bench = spark.createDataFrame([(1, item), (2, middle)], "item_id bigint, text string")
+    parts = [(1, item[k : k + 60]) for k in range(1, 200, 7)] + [(2, middle[k : k + 52]) for k in range(len(middle) - 52)]
+    texts = [f"{say(30, 'pqrstuv')} {part.strip()} {say(30, 'pqrstuv')}" for _, part in parts]
+    found = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(documents([*texts, say(90, "pqrstuv")]), bench).collect()}
+    assert found == {(i, n) for i, (n, _) in enumerate(parts)}
