@@ -8,7 +8,7 @@ by grouped counts over all pages.  A host's prior is smoothed towards its domain
 
 The trigram models are fitted on a sample of labelled documents, `SAMPLE_DOCS` of each language at most, picked
 by hash.  Null or empty pages have no text or markup evidence: their priors decide.  Ties go to the language
-that sorts first.  Without labelled documents there are no languages, and `lang` is null.  Repeated rows get
+that sorts first.  Every labelled language counts; more than `LANGUAGES` are refused.  Without labelled documents there are no languages, and `lang` is null.  Repeated rows get
 equal results; each counts as a page of its host.
 """
 
@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, row_batches, table, written
+from .common import ascii_lower, row_batches, small_side, table, written
 
 SAMPLE_DOCS = 400
 BUCKETS = 1 << 16
+LANGUAGES = 512  # a model takes half a megabyte
 TEMPER = 0.15
 MOST = 400.0  # how much text evidence one page can give against a language
 HOST_WEIGHT, DOMAIN_WEIGHT = 8.0, 32.0
@@ -53,7 +54,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities of each bucket."""
     known = docs.select(F.col("lang").cast("string").alias("lang"), "doc_id").where("lang is not null and doc_id is not null")
-    langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect())
+    langs = sorted(r["lang"] for r in known.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"documents are labelled with more than {LANGUAGES} languages")
     rank = F.xxhash64("doc_id")
     ids = [r["doc_id"] for x in langs for r in known.where(F.col("lang") == x).orderBy(rank, "doc_id").limit(SAMPLE_DOCS).collect()]
     if not ids:
@@ -125,10 +128,8 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     read = pages.select("page_id", host.alias("host"), domain.alias("domain"), suffix.alias("suffix"), html.alias("html"), code(F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), DECLARED, 1))).alias("declared"))
     seen = read.mapInArrow(_likelihoods(spark.sparkContext.broadcast(model)), f"page_id {ids}, host string, domain string, suffix string, declared string, text array<double>")
     total = F.aggregate("text", F.lit(0.0), lambda a, x: a + F.exp(x))
-    common = [r["suffix"] for r in read.groupBy("suffix").count().orderBy(F.desc("count"), "suffix").limit(4096).collect()]
-    seen = seen.withColumn("first", _best(F.col("text"))).withColumn("sure", total < 1.2)
-    seen = written(seen.withColumn("suffix", F.when(F.col("suffix").isin(common), F.col("suffix")).otherwise("?")) if len(common) == 4096 else seen, "pages")
-    evidence = {kind: _table(seen, kind, n) for kind in ("declared", "suffix")}
+    seen = written(seen.withColumn("first", _best(F.col("text"))).withColumn("sure", total < 1.2), "pages")
+    evidence = _table(seen, "declared", n)
     counts = [F.sum((F.col("sure") & (F.col("first") == k)).cast("double")).alias(f"c{k}") for k in range(n)]
     overall = seen.agg(*counts).first()
     everything = [(x or 0.0) + 0.5 for x in overall]
@@ -143,15 +144,21 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     domains = domains.select("domain", smoothed([F.col(f"c{k}") for k in range(n)], [F.lit(x) for x in top], DOMAIN_WEIGHT).alias("above"))
     hosts = hosts.join(domains, "domain").select(F.col("host").alias("h"), smoothed([F.col(f"c{k}") for k in range(n)], [F.get("above", F.lit(k)) for k in range(n)], HOST_WEIGHT).alias("prior"))
 
+    flat = F.array(*(F.lit(0.0) for _ in range(n)))
+    suffixes = written(seen.where("sure").groupBy("suffix").agg(*counts), "suffixes")
+    values = suffixes.count()
+    logs = F.array(*(F.log((F.col(f"c{k}") + F.lit(0.5)) / F.lit((overall[k] or 0.0) + 0.5 * values)) for k in range(n)))
+    suffixes = small_side(suffixes.select(F.col("suffix").alias("x"), logs.alias("by_suffix")), values, 40 + 8 * n)
+
     def looked_up(kind: str) -> Column:
-        flat = F.array(*(F.lit(0.0) for _ in range(n)))
         out = None
-        for value, logs in evidence[kind].items():
+        for value, logs in evidence.items():
             x = F.array(*(F.lit(v) for v in logs))
             out = F.when(F.col(kind) == value, x) if out is None else out.when(F.col(kind) == value, x)
         return flat if out is None else out.otherwise(flat)
 
-    joined = seen.join(hosts, seen["host"] == hosts["h"], "left").withColumn("d", looked_up("declared")).withColumn("s", looked_up("suffix"))
+    joined = seen.join(hosts, seen["host"] == hosts["h"], "left").join(suffixes, seen["suffix"] == suffixes["x"], "left")
+    joined = joined.withColumn("d", looked_up("declared")).withColumn("s", F.coalesce("by_suffix", flat))
     scores = F.array(*(F.get("text", F.lit(k)) + F.get("d", F.lit(k)) + F.get("s", F.lit(k)) + F.log(F.get("prior", F.lit(k))) for k in range(n)))
     joined = joined.withColumn("scores", scores).withColumn("best", _best(F.col("scores")))
     mass = F.aggregate("scores", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("scores")))

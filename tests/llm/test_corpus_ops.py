@@ -46,6 +46,13 @@ def test_language(spark, documents):
     assert {r["lang"] for r in langid.identify(pages, docs.where("false")).collect()} == {None}
 
 
+def test_no_language_is_left_out(spark):
+    codes = [a + b for a in "abcdefghij" for b in "klmnopq"][:66]
+    docs = spark.createDataFrame([(2 * i + k, f"{c}{c} " * 40, c) for i, c in enumerate(codes) for k in range(1 if i == 65 else 2)], "doc_id bigint, text string, lang string")
+    pages = spark.createDataFrame([(1, "http://a.site.org/x", f"<p>{(codes[65] * 2 + ' ') * 40}</p>")], "page_id bigint, url string, html string")
+    assert langid.identify(pages, docs).first()["lang"] == codes[65]
+
+
 def test_repeats(documents, edges, none):
     line, short = "one passage of words that stands in many documents", "too short"
     texts = [f"a first line of its own\n{line}\n{short}", f"{line.upper()}\nsomething else in this one here\n{short}", f"  {line}  ", None, "", "no repeats in this one at all"]
