@@ -27,14 +27,24 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """`name`, with as many underscores before it as make it differ from all of `columns`."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; sets a local one only where none is named."""
+    """The folder that driver and executors share; where none is named, a local one if all run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
     made = f"/tmp/checkpoints/{uuid.uuid4().hex}"
     spark.sparkContext.setCheckpointDir(made)
     return f"file://{made}"
