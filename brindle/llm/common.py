@@ -7,6 +7,7 @@ import string
 import uuid
 from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +51,9 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -63,7 +67,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again.
 
     This cuts the lineage: a lost executor costs a reread, never a recomputation of what came before.
-    The files go when the Python process ends.
+    The files go by `discard`, or when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brindle-{name}-{uuid.uuid4().hex}"
@@ -74,7 +78,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(BATCH_ROWS, before)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame that `written` gave and that nothing will read again."""
+    path = _written.pop(df, None)
+    if path is not None:
+        _delete(df.sparkSession, path)
 
 
 def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

@@ -145,38 +145,42 @@ def keep_units(text: str, removed: list[tuple[int, int]]) -> tuple[str, list[dic
     return "\n".join(kept), spans
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _units(cached: int):
     """Each unit's occurrence; `later` if this task has met an earlier one, which is left out if it is the same."""
-    words = worker_state("repeats", Words)
-    best: dict[bytes, tuple] = {}  # digest to rank of the earliest occurrence
-    for b in row_batches(batches, 2 << 20):
-        owner, later, rows = [], [], []
-        for i, (key, th, text) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)):
-            start, stop, high, low = words.units(text or "")
-            if not len(start):
-                continue
-            if len(best) > CACHED_UNITS:
-                best.clear()
-            row, take = (key is None, 0 if key is None else key, th), []
-            for k, (at, digest) in enumerate(zip(start.tolist(), np.stack((high, low), 1).view("V16").ravel().tolist(), strict=True)):
-                rank = (row, at)
-                known = best.get(digest)
-                if known is None or rank < known:
-                    best[digest] = rank
-                    later.append(False)
-                elif rank == known:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = worker_state("repeats", Words)
+        best: dict[bytes, tuple] = {}  # digest to rank of the earliest occurrence
+        for b in row_batches(batches, 2 << 20):
+            owner, later, rows = [], [], []
+            for i, (key, th, text) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)):
+                start, stop, high, low = words.units(text or "")
+                if not len(start):
                     continue
-                else:
-                    later.append(True)
-                take.append(k)
-            owner.append(np.full(len(take), i, np.int32))
-            rows.append(np.stack((start << 32 | stop, high, low))[:, take])
-        cols = np.concatenate(rows, 1) if rows else np.empty((3, 0), np.int64)
-        take = pa.array(np.concatenate(owner) if owner else np.empty(0, np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0).take(take), b.column(1).take(take), pa.array(later, pa.bool_()), *(pa.array(np.ascontiguousarray(c)) for c in cols)],
-            ["doc_id", "th", "later", "span", "high", "low"],
-        )
+                if len(best) > cached:
+                    best.clear()
+                row, take = (key is None, 0 if key is None else key, th), []
+                for k, (at, digest) in enumerate(zip(start.tolist(), np.stack((high, low), 1).view("V16").ravel().tolist(), strict=True)):
+                    rank = (row, at)
+                    known = best.get(digest)
+                    if known is None or rank < known:
+                        best[digest] = rank
+                        later.append(False)
+                    elif rank == known:
+                        continue
+                    else:
+                        later.append(True)
+                    take.append(k)
+                owner.append(np.full(len(take), i, np.int32))
+                rows.append(np.stack((start << 32 | stop, high, low))[:, take])
+            cols = np.concatenate(rows, 1) if rows else np.empty((3, 0), np.int64)
+            take = pa.array(np.concatenate(owner) if owner else np.empty(0, np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(take), b.column(1).take(take), pa.array(later, pa.bool_()), *(pa.array(np.ascontiguousarray(c)) for c in cols)],
+                ["doc_id", "th", "later", "span", "high", "low"],
+            )
+
+    return run
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
@@ -187,7 +191,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     ids = docs.schema["doc_id"].dataType.simpleString()
     text = F.col("text").cast("string")
     source = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
-    units = written(source.mapInArrow(_units, f"doc_id {ids}, th bigint, later boolean, span bigint, high bigint, low bigint"), "units")
+    units = written(source.mapInArrow(_units(CACHED_UNITS), f"doc_id {ids}, th bigint, later boolean, span bigint, high bigint, low bigint"), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", F.shiftright("span", 32).alias("start"))
     first = F.min(rank).over(Window.partitionBy("high", "low"))
     open_ = units.where("not later").withColumn("first", first).where(~rank.eqNullSafe(F.col("first")))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, leaks, licenses, media, pseudo, toxicity
+from brindle.llm import bpe, leaks, licenses, media, toxicity
 
 
 def test_bpe_equals_library(spark, edges, none):
@@ -104,30 +104,6 @@ def test_toxicity(spark, documents, edges, none):
     assert np.allclose(p[0], [sum(w for y, w in weigh.items() if y[k]) / sum(weigh.values()) for k in range(3)])
 
 
-def test_pseudo_likelihood(documents, edges, none):
-    same = documents(["the cat sat on the mat and the dog ran"] * 40 + ["mat the the dog cat sat ran and on"])
-    model = pseudo.train(same)
-    rows = {r["doc_id"]: r for r in pseudo.score(same, model).collect()}
-    assert rows[0]["mean"] > rows[40]["mean"] and rows[0]["n_tokens"] == 10
-    shares = np.exp(model["class"].reshape(-1, pseudo.CLASSES)).sum(1)
-    assert np.allclose(shares, 1)
-    out = pseudo.score(edges, pseudo.train(edges)).collect()
-    assert len(out) == 9 and all((r["mean"] is None) == (r["n_tokens"] == 0) and (r["n_tokens"] or r["score"] == 0) for r in out)
-    assert pseudo.score(none, pseudo.train(none)).count() == 0
-
-
-def test_rare_words_have_their_own_share(documents, monkeypatch):
-    monkeypatch.setattr(pseudo, "VOCABULARY", pseudo.OWN)
-    frequent = " ".join(f"w{i}" for i in range(pseudo.OWN))
-    docs = documents([f"x{i}ab" for i in range(1000)] + ["twice"] * 2 + [" ".join([frequent] * 3)])
-    model = pseudo.train(docs)
-    scores = {r["doc_id"]: r["score"] for r in pseudo.score(docs, model).collect()}
-    assert np.allclose([scores[i] for i in range(1000)], scores[0])
-    assert sum(np.exp(scores[i]) for i in range(1001)) < 1
-    unseen = pseudo.score(documents(["yyab", "x1ab"]), model).orderBy("doc_id").collect()
-    assert np.isclose(unseen[1]["score"], scores[1]) and np.isclose(unseen[1]["score"] - unseen[0]["score"], np.log(11))
-
-
 def _least_edits(p, t):
     row = [0] * (len(t) + 1)
     for i, c in enumerate(p, 1):
