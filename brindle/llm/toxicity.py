@@ -1,20 +1,23 @@
 """Toxicity: a linear-chain conditional random field tags toxic words; its marginals give document scores.
 
-Labels are given per document, so training first labels tokens: a word counts as toxic if it is common among
-toxic training documents and next to absent from clean ones, which grouped counts over the training rows say
-(about `TRAIN_DOCS` of either label, at most).  The field is then fitted on windows of words from a bounded sample of training documents (`SAMPLE_DOCS` of
-either label, at most).  A chain is at most `CHAIN` consecutive words of one line; forward-backward gives the
-probability that each word is toxic.  A document's evidence is the logarithm of how unlikely it is that no word
-is toxic; its score is a logistic function of that, fitted to the sampled documents at their true rate.  Words
-above one half are the offending spans.
-
-Scores depend on texts alone.  Null and empty texts score 0.  If the training rows lack either label, nothing
-is learnt and every score is 0.  Repeated rows get equal scores; a label table's repeated ids count once, as
-toxic if any of them says so; null labels are ignored.
+Labels are given per document, so training first labels tokens.  A word counts as toxic if it is far commoner among
+toxic training documents than among clean ones, and so clearly that chance doesn't explain it among as many words as
+there are: one test at every size, see `telling`.  Counts come from the training rows, about `TRAIN_DOCS` of either label
+at most.  The field is then fitted on windows of words from a bounded sample of training documents (`SAMPLE_DOCS` of
+either label, at most).  A chain is a line, whole, however long; forward-backward gives the probability that each of
+its words is toxic.  A document's evidence is the logarithm of how unlikely it is that no word is toxic; its score is
+a logistic function of that, fitted to the sampled documents at their true rate.  Words above one half are the
+offending spans.
+
+Scores depend on texts alone.  Null and empty texts score 0; very long ones are read whole.  If the training rows lack
+either label, nothing is learnt and every score is 0.  Repeated rows get equal scores; a label table's repeated ids
+count once, as toxic if any of them says so; null labels are ignored.  Empty tables give empty results; further
+columns don't matter, and a pipeline stage gives them back.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -25,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_batches, table, worker_state
+from .common import discard, row_batches, table, worker_state, written
 
 WORD = re.compile(r"\w+")
-CHAIN = 64
+BLOCK = 64  # words that are scanned one after another; blocks side by side
 TRAIN_DOCS = 150_000  # labelled rows of either label whose words are counted, about; more are sampled by hash
 SAMPLE_DOCS = 3000  # of either label, whose windows fit the field
 WINDOWS = 24_000  # aimed at; a document gives 4 to 40
-LEXICON = 50_000  # most frequent candidate words
+ODDS, FALSE = 20.0, 10  # how much commoner a toxic word is, and how many words chance alone may let through
 DIMENSIONS = 1 << 17
 REACH = 7  # words on either side in a training window
 FOLDS = 5
@@ -46,13 +49,12 @@ def held_out(doc_id: Column) -> Column:
 
 def word_features(word: str) -> list[int]:
     """Places of a word's own features: the word, its beginnings, its end and its length."""
-    w = word[:40]
-    names = [f"w={w}", *(f"p{n}={w[:n]}" for n in (3, 4, 5, 6) if len(w) > n), f"s3={w[-3:]}", f"n={min(len(w), 12)}"]
+    names = [f"w={word}", *(f"p{n}={word[:n]}" for n in (3, 4, 5, 6) if len(word) > n), f"s3={word[-3:]}", f"n={min(len(word), 12)}"]
     return [zlib.crc32(x.encode()) % DIMENSIONS for x in names]
 
 
 def side_feature(side: str, word: str) -> int:
-    return zlib.crc32(f"{side}={word[:40]}".encode()) % DIMENSIONS
+    return zlib.crc32(f"{side}={word}".encode()) % DIMENSIONS
 
 
 def marginals(score: np.ndarray, mask: np.ndarray, field: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +89,55 @@ def marginals(score: np.ndarray, mask: np.ndarray, field: dict) -> tuple[np.ndar
     return np.where(mask, p, 0.0), moves
 
 
+def scan(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """y[k] = (a[k] * y[k - 1] + b[k]) / (c[k] * y[k - 1] + d[k]) with y[-1] = 1, all of them not negative.
+
+    Blocks are scanned side by side: first what each makes of its first value, as one such fraction, then, from block
+    to block, the first values themselves, then all values.
+    """
+    n = len(a)
+    rows = -(-n // BLOCK)
+    steps = []
+    for x, pad in ((a, 1.0), (b, 0.0), (c, 0.0), (d, 1.0)):
+        whole = np.full(rows * BLOCK, pad)
+        whole[:n] = x
+        steps.append(np.ascontiguousarray(whole.reshape(rows, BLOCK).T))
+    p, q, r, s = np.ones(rows), np.zeros(rows), np.zeros(rows), np.ones(rows)
+    for k in range(BLOCK):
+        a_, b_, c_, d_ = (x[k] for x in steps)
+        p, q, r, s = a_ * p + b_ * r, a_ * q + b_ * s, c_ * p + d_ * r, c_ * q + d_ * s
+        if k % 4 == 3:
+            size = p + q + r + s
+            p, q, r, s = p / size, q / size, r / size, s / size
+    firsts, y = [], 1.0
+    for p_, q_, r_, s_ in zip(p.tolist(), q.tolist(), r.tolist(), s.tolist(), strict=True):
+        firsts.append(y)
+        y = (p_ * y + q_) / (r_ * y + s_)
+    out = np.empty((BLOCK, rows))
+    y = np.array(firsts)
+    for k in range(BLOCK):
+        a_, b_, c_, d_ = (x[k] for x in steps)
+        out[k] = y = (a_ * y + b_) / (c_ * y + d_)
+    return out.T.ravel()[:n]
+
+
+def chances(score: np.ndarray, first: np.ndarray, field: dict) -> np.ndarray:
+    """P(toxic) for each place of chains that follow one another; `first` marks where one begins.
+
+    The same as `marginals`, by odds: with two states, each message of forward-backward is one number.
+    """
+    move, start = np.exp(field["move"]), np.exp(field["start"])
+    local = np.exp(np.clip(score, -30, 30))
+    go = np.where(first, 0.0, 1.0)
+    ahead = scan(local * move[1, 1] * go, local * np.where(first, start[1] / start[0], move[0, 1]), move[1, 0] * go, np.where(first, 1.0, move[0, 0]))
+    last = np.append(first[1:], True)[::-1]
+    then = np.append(local[1:], 1.0)[::-1]
+    go = np.where(last, 0.0, then)
+    back = scan(move[1, 1] * go, np.where(last, 1.0, move[1, 0]), move[0, 1] * go, np.where(last, 1.0, move[0, 0]))[::-1]
+    odds = ahead * back
+    return odds / (1 + odds)
+
+
 def fit(windows: list[tuple[list[str], list[int]]], epochs: int = 12, seed: int = 5) -> dict:
     """The field's weights from windows of words and their 0/1 labels, by adaptive gradient ascent."""
     field = {"w": np.zeros(DIMENSIONS), "move": np.zeros((2, 2)), "start": np.zeros(2), "bias": 0.0}
@@ -162,31 +213,19 @@ class Tagger:
                 found = WORD.findall(line)
                 words += found
                 n += len(found)
-                whole, rest = divmod(len(found), CHAIN)
-                lengths += [CHAIN] * whole + [rest] * bool(rest)
+                if found:
+                    lengths.append(len(found))
             sizes.append(n)
         if not words or self.field is None:
             return [np.zeros(n) for n in sizes]
         at = self._places(words)
         rows = self.weights[at]
-        length = np.array(lengths)
-        start = np.concatenate(([0], np.cumsum(length)[:-1]))
+        first = np.zeros(len(words), bool)
+        first[np.cumsum([0, *lengths[:-1]])] = True
         score = rows[:, 0].copy()
-        inner = np.ones(len(words), bool)
-        inner[start] = False
-        score[1:] += np.where(inner[1:], rows[:-1, 1], 0)
-        score[:-1] += np.where(inner[1:], rows[1:, 2], 0)
-        p = np.zeros(len(words))
-        order = np.argsort(length, kind="stable")
-        cuts = np.searchsorted(length[order], [0, 8, 16, 24, 32, 48, CHAIN], side="right")
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            for a in range(lo, hi, 1 << 14):
-                pick = order[a : min(hi, a + (1 << 14))]
-                t = int(length[pick].max())
-                mask = np.arange(t) < length[pick, None]
-                where = np.minimum(start[pick, None] + np.arange(t), len(words) - 1)
-                p[where[mask]] = marginals(np.where(mask, score[where], 0), mask, self.field)[0][mask]
-        return np.split(p, np.cumsum(sizes)[:-1])
+        score[1:] += np.where(first[1:], 0, rows[:-1, 1])
+        score[:-1] += np.where(first[1:], 0, rows[1:, 2])
+        return np.split(chances(score, first, self.field), np.cumsum(sizes)[:-1])
 
 
 def evidence(p: np.ndarray) -> float:
@@ -261,10 +300,24 @@ def _windows(lexicon: set[str], each: int):
     return run
 
 
+def telling(n: int, other: int, toxic: int, clean: int, words: int) -> bool:
+    """Whether a word found in `n` of the `toxic` rows and in `other` of the `clean` ones counts as toxic.
+
+    It must be ODDS times as common in toxic rows and next to absent from clean ones.  And so many of its rows being
+    toxic must be unlikely by chance: by the Chernoff bound, FALSE of all `words` words at most would get here so.
+    """
+    if other > 0.02 * n or n / toxic <= ODDS * (other + 0.02 * n) / clean:
+        return False
+    share, base = n / (n + other), toxic / (toxic + clean)
+    apart = share * math.log(share / base) + (0.0 if other == 0 else (1 - share) * math.log((1 - share) / (1 - base)))
+    return (n + other) * apart > math.log(words / FALSE)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     """A field from the training rows of `docs` (those whose id isn't held out) and their labels.
 
-    Collected to the driver are at most LEXICON counts of words and the windows of 2 * SAMPLE_DOCS rows, and a number for each.
+    Collected to the driver are counts of the words that enough of the at most TRAIN_DOCS toxic training rows hold, the
+    windows of 2 * SAMPLE_DOCS rows, and a number for each.
     """
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -279,10 +332,13 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     if not toxic or not clean:
         return None
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marked), "doc_id")
-    least = max(2 if toxic < 200 else 4, toxic // 1000)
-    bad = {r["word"]: r["n"] for r in _count(rows.where("toxic = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(LEXICON).collect()}
+    counts = written(_count(rows.where("toxic = 1"), None), "toxic-words")
+    distinct = max(1, counts.count())
+    least = math.ceil(max(1.0, math.log(distinct / FALSE)) / math.log((toxic + clean) / toxic))  # for a word that no clean row holds
+    bad = {r["word"]: r["n"] for r in counts.where(F.col("n") >= least).collect()}
+    discard(counts)
     good = {r["word"]: r["n"] for r in _count(rows.where("toxic = 0"), set(bad)).collect()}
-    lexicon = {w for w, n in bad.items() if n / toxic > 20 * (good.get(w, 0) + 0.02 * n) / clean and good.get(w, 0) <= 0.02 * n}
+    lexicon = {w for w, n in bad.items() if telling(n, good.get(w, 0), toxic, clean, distinct)}
     picked = [r["doc_id"] for x in (1, 0) for r in ids.where(F.col("toxic") == x).distinct().orderBy(rank, "doc_id").limit(SAMPLE_DOCS).collect()]
     chosen = docs.sparkSession.createDataFrame([(x,) for x in picked], docs.select("doc_id").schema)
     sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "toxic")
