@@ -7,7 +7,8 @@ A position that was given up once is never entered again, so the work is linear
 Decoding looks up each id's place in one block of token texts (an offset table).
 
 Texts are normalised (NFC, lower case) and split as the vocabulary's file demands.  Special tokens are found
-in the raw text.  Null texts count as empty and give no ids.  Repeated rows give repeated results.
+in the raw text.  Null texts count as empty and give no ids.  Repeated rows give repeated results.  Very long texts are
+read whole, a piece at a time; an empty table gives an empty result; further columns don't matter.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from .common import row_batches, table, worker_state
 
 END = "Ā"  # stands for the end of a word after its last byte
 PIECE = 1 << 20  # characters of a text that are split into words at a time, cut before white space
-CACHED_WORDS = 1 << 18
-CACHED_PAIRS = 1 << 20
+CACHED_WORDS = 1 << 17
+CACHED_PAIRS = 1 << 17
 
 
 def load(path: str) -> dict:
@@ -128,7 +129,7 @@ class Codec:
             left, right, both = ids[a], ids[b], ids[a + b]
             self.merge[left, right] = rank
             self.made_by[both] = (rank, left, right)
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by both ids in one number
         whole = {}
         for token in sorted(ids, key=len):
             t = ids[token]
@@ -181,11 +182,12 @@ class Codec:
                 j -= 1
 
     def pair_fits(self, left: int, right: int) -> bool:
-        known = self.fits.get((left, right))
+        pair = left << 32 | right
+        known = self.fits.get(pair)
         if known is None:
             if len(self.fits) >= CACHED_PAIRS:
                 self.fits.clear()
-            known = self.fits[left, right] = self._stays_apart(left, right)
+            known = self.fits[pair] = self._stays_apart(left, right)
         return known
 
     def encode_word(self, word: str) -> list[int]:
@@ -271,7 +273,7 @@ def _codec(name: str, spec) -> Codec:
 def _mapper(name: str, spec, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name, spec)
-        for b in row_batches(batches):
+        for b in row_batches(batches, 2 << 20):
             ids, counts, sums, decoded = [], [], [], []
             for text in b.column(1).to_pylist():
                 code = codec.encode(text or "")

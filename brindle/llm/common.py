@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import string
 import uuid
 from collections.abc import Callable, Hashable, Iterable, Iterator
@@ -105,11 +107,20 @@ def worker_state(owner: Hashable, make: Callable[[], Any] = dict) -> Any:
     """
     if owner not in _state:
         _state.clear()
+        give_back()
         _state[owner] = make()
     return _state[owner]
 
 
-def row_batches(batches: Iterable[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Return memory that this process holds but doesn't use to the system, as Python workers live on between stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the GNU C library has it
+        trim(0)
+
+
+def row_batches(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `most` bytes, so that long texts don't pile up in a worker."""
     for batch in batches:
         rows = batch.num_rows
@@ -117,4 +128,4 @@ def row_batches(batches: Iterable[pa.RecordBatch], most: int = 8 << 20) -> Itera
             step = max(1, min(rows, int(rows * most / max(1, batch.nbytes))))
             for at in range(0, rows, step):
                 yield batch.slice(at, step)
-    pa.default_memory_pool().release_unused()  # the worker lives on
+    give_back()
