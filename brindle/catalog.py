@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions.ordering import SortSpec
-from .functions.values import ABSENT
+from .functions.values import ABSENT, presence_counts
 from .operators import changes, conflicts, relations
 from .operators.attachments import ref_counts
 from .plans.query import Query
+from .sources.database import FieldSpec, RowSchema
 from .streaming.live import coalesced, diff
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,7 +152,7 @@ def q_load_all_children(t):
 
 @query("SELECT o_custkey, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY o_custkey")
 def q_group_by_fk(t):
-    return t("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+    return relations.group_children(t("orders"), "o_custkey", F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
 @query("SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_partkey = 5")
@@ -172,7 +173,7 @@ def q_orphans(t):
 @query("SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
 def q_join_cleanup(t):
     gone = t("supplier").where("s_acctbal < 0").select("s_suppkey")
-    return t("lineitem").join(gone, F.col("l_suppkey") == F.col("s_suppkey"), "left_anti").select("l_orderkey", "l_partkey").distinct()
+    return relations.without_links(t("lineitem"), "l_suppkey", gone, "s_suppkey").select("l_orderkey", "l_partkey").distinct()
 
 
 @query(
@@ -312,14 +313,13 @@ def q_missing_order(t):
 
 @query(f"SELECT event_id, CASE WHEN gone THEN -1.0 ELSE value END AS value FROM ({SPARSE})")
 def q_defaults_missing(t):
-    d = _sparse(t)
-    return d.select("event_id", F.when(F.array_contains(ABSENT, "value"), F.lit(-1.0)).otherwise(F.col("value")).alias("value"))
+    schema = RowSchema([FieldSpec("value", "double", default=-1.0, has_default=True)])
+    return schema.fill_frame(_sparse(t)).select("event_id", "value")
 
 
 @query("SELECT count(DISTINCT event_id) FILTER (event_id % 4 <> 0) AS present, count(*) FILTER (event_id % 4 = 0) AS missing FROM events")
 def q_presence_counts(t):
-    here = ~F.array_contains(ABSENT, "value")
-    return _sparse(t).agg(F.count_if(here).alias("present"), F.count_if(~here).alias("missing"))
+    return presence_counts(_sparse(t), "value")
 
 
 @query("SELECT md5(text) AS content, count(*) AS refs FROM documents GROUP BY 1")
@@ -327,22 +327,11 @@ def q_refcounts(t):
     return ref_counts(t("documents").select(F.md5("text").alias("content")), "content")
 
 
-@query("SELECT c_custkey, CASE WHEN o.k IS NULL THEN c_acctbal ELSE c_acctbal + n END AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) o ON k = c_custkey")
-def q_upsert_merge(t):
-    """Merge upsert of a delta frame over a table by key."""
-    delta = t("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    joined = t("customer").join(delta, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return joined.select("c_custkey", F.when(F.col("n").isNull(), F.col("c_acctbal")).otherwise(F.col("c_acctbal") + F.col("n")).alias("c_acctbal"))
-
-
-@query("SELECT event_type, window_start, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start FROM events) GROUP BY ALL")
-def q_feed_by_hour(t):
-    w = F.window("ts", "1 hour")
-    return t("events").groupBy("event_type", w.alias("w")).agg(F.count(F.lit(1)).alias("n")).select("event_type", F.col("w.start").alias("window_start"), "n")
-
-
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_orderkey FROM orders WHERE starts_with(o_orderpriority, '1') INTERSECT SELECT o_orderkey FROM orders WHERE o_totalprice >= 150000")
 def q_multi_index(t):
     """What an intersection of index scans gives: one conjunctive scan."""
     return Query(t("orders"), "o_orderkey").filter("o_orderstatus", "F").prefix("o_orderpriority", "1").range("o_totalprice", min=150000.0).matching().select("o_orderkey")
 
+
+
+from . import stored as _stored  # noqa: E402, F401  registers the queries that write

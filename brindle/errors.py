@@ -18,5 +18,6 @@ class TransactionAborted(EngineError): ...
 class SnapshotExpired(EngineError): ...
 class CommitConflict(EngineError): ...
 class ReadOnly(EngineError): ...
+class AlreadyOpen(EngineError): ...
 class LimitExceeded(EngineError): ...
 class StorageError(EngineError): ...

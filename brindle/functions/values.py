@@ -73,6 +73,12 @@ def present(df: DataFrame, field: str) -> Column:
     return ~F.coalesce(F.array_contains(F.col(ABSENT), field), F.lit(False))
 
 
+def presence_counts(df: DataFrame, field: str) -> DataFrame:
+    """One row: in how many rows a field is present, null or not, and in how many it is missing."""
+    here = present(df, field)
+    return df.agg(F.count_if(here).alias("present"), F.count_if(~here).alias("missing"))
+
+
 def key_order(df: DataFrame, key: str) -> list[Column]:
     """Columns that sort by record key: strings by length in bytes and then bytes, numbers with negatives last."""
     c, kind = F.col(key), kind_of_type(df.schema[key].dataType)

@@ -9,6 +9,7 @@ from ..errors import AttachmentError
 from ..sources.database import Collection, Database
 
 FIELDS = "id string, parentCollection string, parentId string, filename string, fileType string, size bigint, contentHash string, uploadState string, deleteState string, retryCount int"
+DELETE_STATES = ("none", "pending", "completed")
 STATES = ("pending", "uploading", "completed", "failed")
 
 
@@ -35,6 +36,12 @@ class Attachments:
         retries = 0 if reset_retry else old["retryCount"] + (state == "failed")
         self.rows.patch(key, {"uploadState": state, "retryCount": retries})
 
+    def set_delete_state(self, key: str, state: str) -> None:
+        """none, pending or completed: how far the deletion of the remote content is."""
+        if self.rows.get(key) is None or state not in DELETE_STATES:
+            raise AttachmentError(key if state in DELETE_STATES else state)
+        self.rows.patch(key, {"deleteState": state})
+
     def query(self, **equal: object) -> DataFrame:
         return self.rows.where(equal).matching().orderBy("id")
 
@@ -44,6 +51,16 @@ class Attachments:
     def failed(self) -> DataFrame:
         return self.query(uploadState="failed").orderBy(F.desc("retryCount"), "id")
 
+    def completed(self) -> DataFrame:
+        return self.query(uploadState="completed")
+
+    def blob_ref_count(self, content_hash: str) -> int:
+        """How many attachments hold this content."""
+        return self.rows.where({"contentHash": content_hash}).count()
+
+    def has_blob(self, content_hash: str) -> bool:
+        return self.blob_ref_count(content_hash) > 0
+
     def orphaned(self) -> DataFrame:
         from .relations import orphans
 
@@ -56,10 +73,13 @@ class Attachments:
     def ref_counts(self) -> DataFrame:
         return ref_counts(self.rows.frame(), "contentHash")
 
-    def delete(self, key: str) -> None:
-        if self.rows.get(key) is None:
+    def delete(self, key: str) -> bool:
+        """Drop an attachment; whether its content is free now, as no other attachment holds it."""
+        row = self.rows.get(key)
+        if row is None:
             raise AttachmentError(key)
         self.rows.delete(key)
+        return not self.has_blob(row["contentHash"])
 
 
 def ref_counts(df: DataFrame, content: str) -> DataFrame:

@@ -75,9 +75,15 @@ class Resolvers:
         return self.known[name](local, remote, base)
 
 
-def lww_column(local: Column, remote: Column, local_seq: Column, remote_seq: Column) -> Column:
+def remote_wins(local_seq: Column, remote_seq: Column, local_version: Column | None = None, remote_version: Column | None = None) -> Column:
+    """Whether the remote is the later one: by sequence, else by versions of one type, else it wins."""
+    versions = F.lit(None).cast("boolean") if local_version is None or remote_version is None else remote_version >= local_version
+    return F.coalesce(remote_seq >= local_seq, versions, F.lit(True))
+
+
+def lww_column(local: Column, remote: Column, local_seq: Column, remote_seq: Column, local_version: Column | None = None, remote_version: Column | None = None) -> Column:
     """Last write wins for one column of joined versions."""
-    return F.when(F.coalesce(remote_seq >= local_seq, F.lit(True)), remote).otherwise(local)
+    return F.when(remote_wins(local_seq, remote_seq, local_version, remote_version), remote).otherwise(local)
 
 
 def merge_column(local: Column, remote: Column, local_there: Column, remote_there: Column) -> Column:
@@ -88,3 +94,10 @@ def merge_column(local: Column, remote: Column, local_there: Column, remote_ther
 def three_way_column(base: Column, local: Column, remote: Column) -> Column:
     """Three-way merge of one column: the remote where it changed, else the local."""
     return F.when(~remote.eqNullSafe(base), remote).otherwise(local)
+
+
+def three_way_presence(base: tuple[Column, Column], local: tuple[Column, Column], remote: tuple[Column, Column]) -> tuple[Column, Column]:
+    """Three-way merge of one field that may be missing, as (value, there): removing it is a change like any other."""
+    changed = (remote[1] != base[1]) | (remote[1] & ~remote[0].eqNullSafe(base[0]))
+    there = F.when(changed, remote[1]).otherwise(local[1])
+    return F.when(there, F.when(changed, remote[0]).otherwise(local[0])), there

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import MigrationError
+from ..functions.values import ABSENT
 from ..sources.database import Collection, Database
 
 
@@ -44,7 +45,8 @@ class Migrations:
             if step.upgrade:
                 c = step.collection
                 rows = step.upgrade(c.frame()).withColumns({"_op": F.lit("put"), "_ord": F.lit(0)})
-                writes[c.name] = (T.StructType([f for f in rows.schema.fields if f.name not in ("_absent", "_op", "_ord")]), rows)
+                fields = [f for f in rows.schema.fields if f.name not in (ABSENT, "_op", "_ord")]
+                writes[c.name] = (T.StructType([*(f for f in fields if f.name == "_key"), *(f for f in fields if f.name != "_key")]), rows)
             self.db.commit(writes, meta={"schema_version": step.to_version})
         except Exception as e:
             raise MigrationError(f"step {step.from_version} to {step.to_version}") from e

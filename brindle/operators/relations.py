@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidOperation, RelationshipViolation
 from ..functions.predicates import Eq
+from ..sources.scratch import kept
 
+BROADCAST_IDS = 100_000
+SALTS = 16
 BEHAVIOURS = ("cascade", "restrict", "setNull", "none", "applicationControlled")
 
 
@@ -38,11 +42,28 @@ def parent(child: DataFrame, child_key: str, child_id: object, field: str, paren
 
 
 def load_all_children(ids: DataFrame, id_column: str, child: DataFrame, field: str, key: str, columns: list[str]) -> DataFrame:
-    """A row for each distinct non-null id, with its children in key order; none is an empty array."""
+    """A row for each distinct non-null id, with its children in key order; none is an empty array.
+
+    Children carry the asked columns only and are gathered in SALTS parts of each parent before its parts meet, so a
+    parent with very many children is dealt over several tasks until its one array is made.
+    """
     wanted = ids.select(F.col(id_column).alias("parent_id")).where("parent_id is not null").distinct()
-    item = F.when(F.col(key).isNotNull(), F.struct(F.col(key), *(F.col(c) for c in columns if c != key)))
-    joined = wanted.join(child, wanted["parent_id"] == child[field], "left")
-    return joined.groupBy("parent_id").agg(F.sort_array(F.collect_list(item)).alias("children"))
+    item = F.struct(F.col(key), *(F.col(c) for c in columns if c != key)).alias("_item")
+    rows = child.where(F.col(field).isNotNull()).select(F.col(field).alias("_parent"), item, F.pmod(F.xxhash64(key), F.lit(SALTS)).alias("_salt"))
+    parts = rows.groupBy("_parent", "_salt").agg(F.collect_list("_item").alias("_part"))
+    lists = parts.groupBy("_parent").agg(F.sort_array(F.flatten(F.collect_list("_part"))).alias("children"))
+    none = F.array().cast(lists.schema["children"].dataType)
+    return wanted.join(lists, F.col("parent_id") == F.col("_parent"), "left").select("parent_id", F.coalesce("children", none).alias("children"))
+
+
+def group_children(child: DataFrame, field: str, *aggregates: Column) -> DataFrame:
+    """Aggregates of the children of each parent; children without a parent's id don't count."""
+    return child.where(F.col(field).isNotNull()).groupBy(field).agg(*aggregates)
+
+
+def without_links(links: DataFrame, side: str, gone: DataFrame, key: str) -> DataFrame:
+    """What is left of a many-to-many table when the records of `gone` are deleted."""
+    return links.join(gone.select(F.col(key).alias("_gone")), F.col(side) == F.col("_gone"), "left_anti")
 
 
 def right_ids(links: DataFrame, left: str, right: str, value: object) -> DataFrame:
@@ -51,9 +72,14 @@ def right_ids(links: DataFrame, left: str, right: str, value: object) -> DataFra
 
 
 def multi_get(df: DataFrame, key: str, ids: list) -> DataFrame:
-    """Rows by id in the order asked for: absent ids are skipped, repeated ones repeat."""
+    """Rows by id in the order asked for: absent ids are skipped, repeated ones repeat.
+
+    A list of up to BROADCAST_IDS ids is broadcast and also filters the scan; a longer one is left to the join's own choice.
+    """
     wanted = df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(ids)], f"_pos int, _id {df.schema[key].dataType.simpleString()}")
-    return df.join(F.broadcast(wanted), df[key] == wanted["_id"]).orderBy("_pos").drop("_id")
+    if len(ids) <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    return df.join(wanted, df[key] == wanted["_id"]).orderBy("_pos").drop("_id")
 
 
 def key_range(df: DataFrame, key: str, start: object = None, end: object = None, start_open: bool = False, end_open: bool = False) -> DataFrame:
@@ -92,12 +118,15 @@ def check_cycles(relations: list[Relationship], new: Relationship) -> None:
     visit(new.parent)
 
 
-def delete_plan(tables: dict[str, tuple[DataFrame, str]], relations: list[Relationship], table: str, ids: DataFrame, hooks: dict | None = None) -> DataFrame:
+def delete_plan(tables: dict[str, tuple[DataFrame, str]], relations: list[Relationship], table: str, ids: DataFrame, hooks: dict | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(table, id, action) for all that a delete of `ids` (column id) leads to: a frontier of semi-joins per level.
 
     `tables` maps names to (frame, key).  Restricted children raise before anything is planned.  Ids are strings
-    in the result, as tables' keys may differ in type.
+    in the result, as tables' keys may differ in type.  `keep` writes a frontier that further relationships start
+    from, so that none is computed twice.
     """
+    keep = keep or kept
+    onward = {r.parent for r in relations if r.on_delete != "none" and r.child in tables}
     out: DataFrame | None = None
     frontier = [(table, ids.select("id").distinct())]
     while frontier:
@@ -114,7 +143,8 @@ def delete_plan(tables: dict[str, tuple[DataFrame, str]], relations: list[Relati
                 if first is not None:
                     raise RelationshipViolation(f"{r.child} {first['id']} depends on {name}")
             elif r.on_delete == "cascade":
-                frontier.append((r.child, hit.distinct()))
+                hit = hit.distinct()
+                frontier.append((r.child, keep(hit) if r.child in onward else hit))
             elif r.on_delete == "setNull":
                 out = out.unionAll(hit.select(F.lit(r.child), F.col("id").cast("string"), F.lit(f"setNull:{r.field}")))
             else:

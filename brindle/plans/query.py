@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections import deque
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import and_, or_
@@ -16,6 +19,8 @@ from ..functions.predicates import Eq, Prefix, Range
 from ..functions.values import ABSENT, kind_of_type, present
 
 PAGE = 50
+LEFT = "_left"
+last_plans: deque[dict] = deque(maxlen=1)
 
 
 @dataclass(frozen=True)
@@ -72,11 +77,13 @@ class Query:
         return out if self.size is None else out.limit(self.size)
 
     def first(self) -> Row | None:
-        return replace(self, size=1).find_all().first()
+        with self._kept_plan():
+            return replace(self, size=1).find_all().first()
 
     def count(self) -> int:
         """How many rows match; sort and window don't matter."""
-        return self.matching().count()
+        with self._kept_plan():
+            return self.matching().count()
 
     def distinct(self, name: str) -> DataFrame:
         """The different values of a field in matching rows, an explicit null among them; the window doesn't matter."""
@@ -112,11 +119,35 @@ class Query:
         return reduce(or_, ways)
 
     def find_page(self, after: Row | dict | None = None, page_size: int | None = None) -> tuple[list[Row], Row | None]:
-        """The next page and the row to go on after, null at the end; a page has one row at least."""
+        """The next page and the row to go on after, null at the end; a page has one row at least.
+
+        A limit holds for all pages together: the row to go on after carries in LEFT how many rows may follow.
+        """
         n = max(1, page_size if page_size is not None else self.size or PAGE)
-        query = self if after is None else replace(self, df=self.df.where(self.after(after)), skip=0)
-        rows = replace(query, size=n + 1).find_all().collect()
-        return rows[:n], rows[n - 1] if len(rows) > n else None
+        at = after.asDict() if isinstance(after, Row) else after
+        left = self.size if at is None else at.get(LEFT, self.size)
+        if left is not None and left <= 0:
+            return [], None
+        query = self if at is None else replace(self, df=self.df.where(self.after(at)), skip=0)
+        most = n if left is None else min(n, left)
+        with self._kept_plan():
+            rows = replace(query, size=most + 1).find_all().collect()
+        if len(rows) <= most or (left is not None and left <= most):
+            return rows[:most], None
+        last = rows[most - 1]
+        return rows[:most], last if left is None else Row(*last.__fields__, LEFT)(*last, left - most)
+
+    @contextmanager
+    def _kept_plan(self) -> Iterator[None]:
+        """Keep how long a terminal operation took, for `last_plan`."""
+        start = time.perf_counter()
+        yield
+        last_plans.append({"predicates": [type(p).__name__ for p in self.predicates], "sort": [s.field for s in self.specs], "limit": self.size, "offset": self.skip, "seconds": time.perf_counter() - start, "plan": self.explain})
+
+    @staticmethod
+    def last_plan() -> dict | None:
+        """The filters, sort, window and time of the last query that was run, and a function that gives its plan."""
+        return last_plans[-1] if last_plans else None
 
     def cursor(self, page_size: int | None = None) -> Cursor:
         return Cursor(self, max(1, page_size if page_size is not None else self.size or PAGE))
