@@ -30,14 +30,18 @@ from .common import row_batches, table, worker_state
 
 END = "Ā"  # stands for the end of a word after its last byte
 PIECE = 1 << 20  # characters of a text that are split into words at a time, cut before white space
-CACHED_WORDS = 1 << 17
+CACHED_WORDS = 1 << 16
 CACHED_PAIRS = 1 << 17
 
 
 def load(path: str) -> dict:
-    """What an encoder needs of a vocabulary file: plain values, small enough for a broadcast."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    """What an encoder needs of a vocabulary file."""
+    with open(path, "rb") as f:
+        return parse(f.read())
+
+
+def parse(data: bytes) -> dict:
+    spec = json.loads(data)
     model = spec["model"]
     return {
         "vocab": model["vocab"],
@@ -266,8 +270,8 @@ class Codec:
 
 
 def _codec(name: str, spec) -> Codec:
-    """This worker's codec: built once from the broadcast vocabulary."""
-    return worker_state(("bpe", name), lambda: Codec(spec.value))
+    """This worker's codec: built once from the bytes of the vocabulary's file, which take less room than its values."""
+    return worker_state(("bpe", name), lambda: Codec(parse(spec.value)))
 
 
 def _mapper(name: str, spec, digests: bool):
@@ -299,11 +303,11 @@ def _mapper(name: str, spec, digests: bool):
 def tokenize(docs: DataFrame, vocabulary: str, digests: bool = False) -> DataFrame:
     """`doc_id`, `n_tokens`, `ids` and `decoded` of every row of `docs`.
 
-    `vocabulary` is the path of a vocabulary file that the driver can read; its values are broadcast, whose
-    size is that of the vocabulary.  `ids` is binary (little-endian unsigned 32-bit integers) and `decoded`
+    `vocabulary` is the path of a vocabulary file that the driver can read; its bytes are broadcast, a few megabytes.  `ids` is binary (little-endian unsigned 32-bit integers) and `decoded`
     the text; with `digests` both are the lowercase hex SHA-256 of that instead.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
+    with open(vocabulary, "rb") as f:
+        spec = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids {'string' if digests else 'binary'}, decoded string"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(

@@ -8,8 +8,10 @@ by grouped counts over all pages.  A host's prior is smoothed towards its domain
 
 The trigram models are fitted on a sample of labelled documents, `SAMPLE_DOCS` of each language at most, picked
 by hash.  Null or empty pages have no text or markup evidence: their priors decide.  Ties go to the language
-that sorts first.  Every labelled language counts; more than `LANGUAGES` are refused.  Without labelled documents there are no languages, and `lang` is null.  Repeated rows get
-equal results; each counts as a page of its host.
+that sorts first.  Every labelled language counts; more than `LANGUAGES` are refused.  Without labelled documents there
+are no languages, and `lang` is null.  Repeated rows get equal results; each counts as a page of its host.  Very long
+pages are read whole, broken markup as far as it goes; an empty table of pages gives an empty result.  Further columns
+don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,6 @@ SAMPLE_DOCS = 400
 BUCKETS = 1 << 16
 LANGUAGES = 512  # a model takes half a megabyte
 TEMPER = 0.15
-MOST = 400.0  # how much text evidence one page can give against a language
 HOST_WEIGHT, DOMAIN_WEIGHT = 8.0, 32.0
 TAGS = re.compile(r"(?is)<(script|style)\b.*?(</\1\s*>|$)|<!--.*?(-->|$)|<[^>]*>")
 DECLARED = r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"
@@ -84,7 +85,7 @@ def _likelihoods(shared):
                 n = np.bincount(trigrams(page_text(html or "")), minlength=BUCKETS) if html else None
                 at = np.flatnonzero(n) if n is not None else []
                 x = TEMPER * (model[:, at] @ n[at]) if len(at) else np.zeros(len(model))
-                out.append(np.maximum(x - x.max(), -MOST).tolist() if len(x) else [])
+                out.append((x - x.max()).tolist() if len(x) else [])
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), b.column(5), pa.array(out, pa.list_(pa.float64()))], ["page_id", "host", "domain", "suffix", "declared", "text"])
 
     return run

@@ -8,15 +8,18 @@ most k + 1 neighbouring diagonals.  So shared q-grams are counted in overlapping
 reach the bound are kept, and a banded alignment verifies each.  Nothing is shuffled: the index of the items is
 broadcast in blocks of `BLOCK_BYTES` of their text, each with its own pass over the documents.
 
-Null or empty texts and items match nothing.  Items too short for the bound (under `LEAST` bytes) are only found
-where they stand exactly, if they have three words at least, else not at all.  Repeated rows give repeated
-results; items with the same text are all reported.
+Null or empty texts and items match nothing.  Items too short for the bound (under `LEAST` bytes) are found at every
+place where they stand exactly, between characters that are neither letters nor digits.  A document counts as clean,
+though, if all it holds are short items of fewer than `PASSAGE_WORDS` words, as those are words and no passages.
+Repeated rows give repeated results; items with the same text are all reported.  Very long texts are read whole; an
+empty table of documents gives an empty result; further columns don't matter, and a pipeline stage gives them back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +31,8 @@ Q = 8
 EDITS = 0.1
 WINDOWS = ((96, 48), (48, 4))  # (size, stride), longest first
 LEAST = 40
+PASSAGE_WORDS = 3
+BORDER = frozenset(range(128)).difference(b"0123456789abcdefghijklmnopqrstuvwxyz")
 BLOCK_BYTES = 2 << 20
 BITS = 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -47,8 +52,16 @@ class Index:
     """The q-grams of a block of items, and the regions that they lie in."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
-        self.items = [(i, d) for i, d in items if len(d) >= LEAST or d.count(b" ") >= 2]
-        self.short = [n for n, (_, d) in enumerate(self.items) if len(d) < LEAST]
+        self.items = [(i, d) for i, d in items if d]
+        short: dict[str, list[int]] = {}
+        for n, (_, d) in enumerate(self.items):
+            if len(d) < LEAST:
+                short.setdefault(d.decode("latin-1"), []).append(n)
+        self.short = ahocorasick.Automaton()
+        for text, numbers in short.items():
+            self.short.add_word(text, (len(text), numbers))
+        if short:
+            self.short.make_automaton()
         codes, item, place, region = [], [], [], []
         for n, (_, d) in enumerate(self.items):
             m = len(d)
@@ -168,12 +181,17 @@ class Index:
                 continue
             if got := self.verify(data, r, diagonal):
                 out.append((n, *got, hi - lo == len(self.items[n][1])))
-        for n in self.short:
-            at = (b" " + data + b" ").find(b" " + self.items[n][1] + b" ")
-            if at >= 0:
-                out.append((n, at, at + len(self.items[n][1]), 0, True))
+        if len(self.short):
+            for last, (size, numbers) in self.short.iter(data.decode("latin-1")):
+                a, b = last + 1 - size, last + 1
+                if (not a or data[a - 1] in BORDER) and (b == len(data) or data[b] in BORDER):
+                    out += [(n, a, b, 0, True) for n in numbers]
         return out
 
+    def is_passage(self, n: int) -> bool:
+        d = self.items[n][1]
+        return len(d) >= LEAST or d.count(b" ") + 1 >= PASSAGE_WORDS
+
 
 def align(pattern: bytes, text: bytes, k: int, low: int) -> tuple[int, int, int] | None:
     """The best place of `pattern` in `text` with at most k edits, within 4k + 3 diagonals from `low` on.
@@ -221,7 +239,7 @@ def _finder(shared, column: int, kind: str):
             texts = [normalise(x or "") for x in b.column(column).to_pylist()]
             found = index.find_all(texts)
             if kind == "clean":
-                yield b.filter(pa.array([not f for f in found], pa.bool_()))
+                yield b.filter(pa.array([not any(index.is_passage(n) for n, *_ in f) for f in found], pa.bool_()))
                 continue
             take = pa.array([i for i, f in enumerate(found) for _ in f], pa.int32())
             flat = [(index.items[n][0], *rest) for f in found for n, *rest in f]

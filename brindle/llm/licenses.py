@@ -5,7 +5,8 @@ the same runs of the templates; hits are counted on each diagonal (place in the
 template), neighbouring diagonals are merged, and a span is kept if its verified hits cover enough of its
 template.  A hit is verified by comparing the words themselves, so hash collisions never count.
 
-Null texts count as empty: no words, no hits.  Rows with the same id and the same text get the same result,
+Null texts count as empty: no words, no hits.  Very long texts are read whole; an empty table gives an empty result;
+further columns don't matter.  Rows with the same id and the same text get the same result,
 as do rows with a null id.  The templates are a fixed small table, which is why that side is broadcast.
 Everything runs in Spark's own operators.
 """
@@ -34,6 +35,9 @@ TEMPLATES = {
     "cc-by-nc": "licensed under cc by nc 4 0",
     "bsd-3": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "gpl-3-name": "gnu general public license version 3",
+    "gpl-2-name": "gnu general public license version 2",
+    "lgpl-3-name": "gnu lesser general public license version 3",
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
 }
 K = 3  # words in a run
@@ -85,8 +89,8 @@ def hits_of(docs: DataFrame, phrases: dict[str, str], templates: dict[str, str])
 def spans_of(hits: DataFrame) -> DataFrame:
     """(doc_id, th, template, label, base, start, end, score): verified spans, in words, end exclusive.
 
-    A base phrase's span is a diagonal that has all of its runs.  For other templates, diagonals at most
-    DRIFT apart, and hits at most a template's length apart, form one span.
+    A base phrase's span is a diagonal that has all of its runs.  For other templates, hits on diagonals of which each
+    is at most DRIFT from the next form one span.
     """
     hits = hits.withColumn("diagonal", F.col("pos") - F.col("tpos"))
     key = ("doc_id", "th", "template", "label", "base", "n_runs")

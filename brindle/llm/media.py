@@ -3,7 +3,8 @@
 The container follows RFC 3533.  A stored value multiplexes two logical streams: serial 1 holds the payload
 as 8-bit mono samples in packets, with granule positions that count samples; serial 2 describes the payload.
 Null texts count as empty.  Null media, and media that fail a check, read back as null payloads with the
-reason in `error`.  Equal inputs give equal media.
+reason in `error`.  Equal inputs give equal media.  Very long texts are stored whole, in as many pages as they need; an
+empty table gives an empty result; further columns don't matter.
 """
 
 from __future__ import annotations

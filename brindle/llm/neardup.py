@@ -24,7 +24,8 @@ more every pair whose sizes allow a link is compared on its shingles, block by b
 with the square of a component's classes, as its links can; rows are one for each class and block.
 
 Null or empty texts, and texts without words, have the empty set and link with nothing.  Rows that share an id
-but not the text are separate documents.  A group's id is its smallest non-null doc_id.
+but not the text are separate documents.  A group's id is its smallest non-null doc_id.  Very long texts are read whole;
+an empty table gives an empty result; further columns don't matter, and a pipeline stage gives them back.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from __future__ import annotations
 import math
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import row_batches, small_side, table, worker_state, written
+from .common import free_name, row_batches, small_side, table, worker_state, written
 
 SHINGLE = 4
 PERCENT = 85
@@ -296,15 +298,15 @@ def _count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted(rows)
 
 
-def contract(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def contract(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, root) for every node of `edges` (a, b) but the roots: alternating large-star and small-star steps.
 
-    After all the rounds it needs, a root is its component's smallest node; after fewer, nodes with the same
-    root are connected, though not all connected nodes may share one.
+    Steps go on until nothing changes, and a root is its component's smallest node.  After a number of `rounds`, nodes
+    with the same root are connected, though not all connected nodes may share one.
     """
     edges = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).where("node <> root").distinct()
     mark = None
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         both = edges.unionAll(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.min("root").alias("low")).select("node", F.least("node", "low").alias("low"))
         large = both.where("root > node").join(least, "node").select(F.col("root").alias("node"), F.col("low").alias("root"))
@@ -440,10 +442,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text = F.xxhash64(F.col("d.text").cast("string"))
     same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (text == F.col("g.th"))
     kept = docs.alias("d").join(gone, same, "left_anti")
-    again = found.groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th")
-    if again.join(first.select("first.doc_id", "first.th"), ["doc_id", "th"], "left_semi").isEmpty():
+    again = found.groupBy("doc_id", "th").count().where("count > 1").alias("a")
+    firsts = first.select(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")).alias("f")
+    if again.join(firsts, F.col("a.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("a.th") == F.col("f.th")), "left_semi").isEmpty():
         return kept
-    repeats = Window.partitionBy("doc_id", "_th").orderBy("_th")
-    marked = kept.withColumn("_th", F.xxhash64(F.col("text").cast("string"))).withColumn("_n", F.row_number().over(repeats))
+    th, n = (free_name(docs.columns, x) for x in ("_th", "_n"))
+    marked = kept.withColumn(th, F.xxhash64(F.col("text").cast("string"))).withColumn(n, F.row_number().over(Window.partitionBy("doc_id", th).orderBy(th)))
     empty = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike("[^ \\t-\\r]")
-    return marked.where((F.col("_n") == 1) | empty).drop("_n", "_th")
+    return marked.where((F.col(n) == 1) | empty).drop(n, th)

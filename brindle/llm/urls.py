@@ -7,7 +7,8 @@ joined exactly with the list, which removes the filter's false positives; that j
 one URL has very many rows.
 
 Null URLs and those without `://` have an empty host and path, match no rule and aren't listed: they're allowed.
-Repeated rows get equal results.  An empty list allows whatever no rule blocks.  All runs in Spark's operators.
+Repeated rows get equal results.  Very long URLs are read whole.  An empty list allows whatever no rule blocks; an empty
+table of pages gives an empty result; further columns don't matter.  All runs in Spark's operators.
 """
 
 from __future__ import annotations
@@ -95,7 +96,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]
     tested = tested.withColumn("possible", F.coalesce(all_set, F.lit(False)))
     none = F.lit(None).cast("string").alias("rule")
     passed = tested.where("not possible").select("page_id", "host", "path", none, F.lit("allow").alias("verdict"), "possible")
-    exact = tested.where("possible").join(listed.select(F.col("url").alias("canonical"), F.lit(True).alias("is_listed")), "canonical", "left")
+    exact = tested.where("possible").join(listed.select(F.col("url").alias("canonical"), F.lit(True).alias("is_listed")).hint("shuffle_hash"), "canonical", "left")
     checked = exact.select("page_id", "host", "path", none, F.when(F.col("is_listed"), "block").otherwise("allow").alias("verdict"), "possible")
     return ruled.unionByName(passed).unionByName(checked)
 
