@@ -1,4 +1,9 @@
-"""A pipeline that prepares `documents` for training; each stage's rows are written as Parquet and read again."""
+"""A pipeline that prepares `documents` for training; each stage's rows are written as Parquet and read again.
+
+Null and empty texts pass all filters; very long ones are read whole.  Rows that repeat an id and a text are one document,
+of which one row stays; empty texts are no copies of each other.  An empty table gives an empty result.  Further columns,
+whatever their names, go through all stages but the last unchanged.
+"""
 
 from __future__ import annotations
 
