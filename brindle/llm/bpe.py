@@ -277,7 +277,7 @@ def _codec(name: str, spec) -> Codec:
 def _mapper(name: str, spec, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name, spec)
-        for b in row_batches(batches, 2 << 20):
+        for b in row_batches(batches, 1 << 20):
             ids, counts, sums, decoded = [], [], [], []
             for text in b.column(1).to_pylist():
                 code = codec.encode(text or "")

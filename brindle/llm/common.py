@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of rows that a broadcast may hold; larger sides are joined by shuffling.
 BROADCAST_BYTES = 16 << 20
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of a batch on its way to Python; batches are held outside the heap, by both sides.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,12 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have this session hand rows to Python in small batches from now on, as whole texts go there."""
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again.
 
@@ -73,12 +80,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brindle-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH_ROWS)
-    spark.conf.set(BATCH_ROWS, "1000")  # texts on their way to Python are held outside the heap
+    before = {k: spark.conf.get(k, None) for k in BATCHES}
+    small_batches(spark)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(BATCH_ROWS, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     atexit.register(_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _written[out] = path

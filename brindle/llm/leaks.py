@@ -235,7 +235,7 @@ def _finder(shared, column: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("leaks")
         index = shared.value
-        for b in row_batches(batches, 2 << 20):
+        for b in row_batches(batches, 1 << 20):
             texts = [normalise(x or "") for x in b.column(column).to_pylist()]
             found = index.find_all(texts)
             if kind == "clean":

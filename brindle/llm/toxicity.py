@@ -39,7 +39,7 @@ ODDS, FALSE = 20.0, 10  # how much commoner a toxic word is, and how many words
 DIMENSIONS = 1 << 17
 REACH = 7  # words on either side in a training window
 FOLDS = 5
-CACHED_WORDS = 1 << 18
+CACHED_WORDS = 1 << 16
 
 
 def held_out(doc_id: Column) -> Column:
@@ -358,7 +358,7 @@ def _evidence(sample: DataFrame, field: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("toxicity")
         tagger = Tagger(shared.value)
-        for b in row_batches(batches, 2 << 20):
+        for b in row_batches(batches, 1 << 20):
             x = [evidence(p) for p in tagger.tag([t or "" for t in b.column(0).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.float64())], ["toxic", "x"])
 
@@ -369,7 +369,7 @@ def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("toxicity")
         tagger = Tagger(shared.value)
-        for b in row_batches(batches, 2 << 20):
+        for b in row_batches(batches, 1 << 20):
             texts = [x or "" for x in b.column(1).to_pylist()]
             tags = tagger.tag(texts)
             yield pa.RecordBatch.from_arrays(
@@ -412,7 +412,7 @@ def _keep_rows(docs: DataFrame, field: dict | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("toxicity")
         tagger = Tagger(shared.value)
-        for b in row_batches(batches, 2 << 20):
+        for b in row_batches(batches, 1 << 20):
             tags = tagger.tag([x or "" for x in b.column(at).to_pylist()])
             yield b.filter(pa.array([document_score(p, tagger.field) < 0.5 for p in tags], pa.bool_()))
 
