@@ -7,10 +7,14 @@ whatever their names, go through all stages but the last unchanged.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import bpe, leaks, neardup, repeats, toxicity
-from brindle.llm.common import table, written
+from brindle.llm.common import small_batches, table, written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,12 +22,25 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.tokenize(docs, bpe.vocabulary_path())
 
 
+def _in_small_batches(stage: Stage) -> Stage:
+    """The same stage in a session that hands texts to Python in small batches, when the result is written too."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", toxicity.stage),
-    ("near_duplicates", neardup.stage),
-    ("substring_dedup", repeats.stage),
-    ("decontamination", leaks.stage),
-    ("bpe", tokens),
+    (name, _in_small_batches(stage))
+    for name, stage in (
+        ("toxicity", toxicity.stage),
+        ("near_duplicates", neardup.stage),
+        ("substring_dedup", repeats.stage),
+        ("decontamination", leaks.stage),
+        ("bpe", tokens),
+    )
 ]
 
 #: No SQL: classifiers, approximate matches and the tokenizer can't be said in it; tests hold brute-force versions.
