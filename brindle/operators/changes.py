@@ -12,7 +12,7 @@ from ..errors import CommitConflict
 from ..sources.database import KEYS, VERSIONS, Batch, Database
 from .relations import latest
 
-SLICES = 1024
+SLICES = 1 << 14
 TRIES = 20
 
 
@@ -30,12 +30,12 @@ def locally_changed(changes: DataFrame) -> DataFrame:
     return sync_state(changes).where("dirty and origin <> 'remoteSync'").orderBy("lsn", "ord")
 
 
-def nth(df: DataFrame, column: str, n: int) -> tuple[int, int]:
+def nth(df: DataFrame, column: str, n: int, bounds: tuple[int, int] | None = None) -> tuple[int, int]:
     """The n-th smallest value (from 1) of a whole-number column, and how many are smaller; there are n at least.
 
     Each pass counts the rows in SLICES slices of what is left, so no rows are sorted or moved.
     """
-    low, high = df.agg(F.min(column), F.max(column)).first()
+    low, high = bounds or df.agg(F.min(column), F.max(column)).first()
     below = 0
     while low < high:
         width = -(-(high - low + 1) // SLICES)
@@ -54,13 +54,14 @@ def pruned(changes: DataFrame, most: int, order: list[str], dirty: str = "dirty"
 
     The cut is a place in the order of clean records that counting finds; a filter then does the rest.
     """
-    extra = changes.count() - most
     clean = changes.where(~F.col(dirty))
-    have = clean.count() if extra > 0 else 0
+    first, second = order
+    at = F.when(~F.col(dirty), F.col(first))
+    total, have, low, high = changes.agg(F.count(F.lit(1)), F.count(at), F.min(at), F.max(at)).first()
+    extra = total - most
     if extra <= 0 or not have:
         return changes
-    first, second = order
-    top, below = nth(clean, first, min(extra, have))
+    top, below = nth(clean, first, min(extra, have), (low, high))
     last, _ = nth(clean.where(F.col(first) == top), second, min(extra, have) - below)
     newer = (F.col(first) > top) | (F.col(first) == top) & (F.col(second) > last)
     return changes.where(F.col(dirty) | newer)

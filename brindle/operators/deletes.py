@@ -35,7 +35,7 @@ class Relations:
         manifest = db.log.manifest()
         frames = {name: (c.frame(manifest=manifest), "_key") for name, c in db.collections.items() if not name.startswith(RESERVED)}
         start = db.spark.createDataFrame([(key,)], T.StructType([T.StructField("id", db.collections[table].kind[db.collections[table].key].dataType)]))
-        plan = kept(delete_plan(frames, [*self.declared.values()], table, start, hooks))
+        plan = kept(delete_plan(frames, [*self.declared.values()], table, start, hooks, kept))
         writes, records = {}, []
         for name in sorted(r["table"] for r in plan.select("table").distinct().collect()):
             c, (frame, _) = db.collections[name], frames[name]

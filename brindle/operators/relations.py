@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidOperation, RelationshipViolation
 from ..functions.predicates import Eq
-from ..sources.scratch import kept
 
 BROADCAST_IDS = 100_000
 SALTS = 16
@@ -122,10 +121,10 @@ def delete_plan(tables: dict[str, tuple[DataFrame, str]], relations: list[Relati
     """(table, id, action) for all that a delete of `ids` (column id) leads to: a frontier of semi-joins per level.
 
     `tables` maps names to (frame, key).  Restricted children raise before anything is planned.  Ids are strings
-    in the result, as tables' keys may differ in type.  `keep` writes a frontier that further relationships start
-    from, so that none is computed twice.
+    in the result, as tables' keys may differ in type.  `keep` holds a frontier that further relationships start
+    from, so that none is computed twice; by default in the executors' memory and on their disks.
     """
-    keep = keep or kept
+    keep = keep or DataFrame.persist
     onward = {r.parent for r in relations if r.on_delete != "none" and r.child in tables}
     out: DataFrame | None = None
     frontier = [(table, ids.select("id").distinct())]
