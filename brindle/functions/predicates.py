@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .values import RANKS, kind_of, kind_of_type, literal, present
+from .values import MIXED_NAMES, RANKS, is_mixed, kind_of, kind_of_type, literal, present, to_mixed
 
 NUMBERS = {"int", "bigint"}
 
@@ -28,6 +28,8 @@ class Eq:
         if self.value is None:
             return here & c.isNull()
         kind = kind_of(self.value)
+        if is_mixed(t) and not (kind == "double" and math.isnan(self.value)):
+            return here & F.coalesce(c == literal(self.value, t), F.lit(False))
         if kind != kind_of_type(t) or kind == "double" and math.isnan(self.value):
             return F.lit(False)
         if kind == "map":
@@ -66,7 +68,10 @@ class Range:
             if bound is None:
                 continue
             other = kind_of(bound)
-            if other == kind or {other, kind} <= NUMBERS:
+            if kind == "mixed":  # the struct's own order; numbers count whatever their kind
+                x = literal(Row(*MIXED_NAMES)(*to_mixed(bound)[:-1], -1 if lower else 127), t)
+                out = out & (F.coalesce(c >= x, F.lit(False)) if lower else (c <= x) | c.isNull())
+            elif other == kind or {other, kind} <= NUMBERS:
                 x = literal(bound, t)
                 out = out & (c >= x if lower else (c <= x) | c.isNull())
             elif lower:
@@ -84,6 +89,11 @@ class Prefix:
     prefix: str
 
     def column(self, df: DataFrame) -> Column:
-        if self.field not in df.columns or kind_of_type(df.schema[self.field].dataType) != "string":
+        if self.field not in df.columns:
+            return F.lit(False)
+        if is_mixed(df.schema[self.field].dataType):
+            c = F.col(self.field)
+            return present(df, self.field) & F.coalesce((c["kind"] == RANKS["string"]) & F.startswith(c["text"], F.lit(self.prefix)), F.lit(False))
+        if kind_of_type(df.schema[self.field].dataType) != "string":
             return F.lit(False)
         return present(df, self.field) & F.startswith(F.col(self.field), F.lit(self.prefix))

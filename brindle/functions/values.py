@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
+import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +22,14 @@ RANKS = {"null": 0, "bool": 1, "int": 2, "bigint": 3, "double": 4, "datetime": 5
 INT64 = range(-(2**63), 2**63)
 
 
+#: The type of a field that holds values of several kinds: numbers, texts and so on in columns of their own, in an order
+#: that makes the struct sort by kind and then by value.  Lists and maps are JSON.  `kind` is last, as 5 and Big(5) are
+#: one number.
+MIXED = "struct<rank:tinyint,flag:boolean,number:decimal(38,0),real:double,time:timestamp,text:string,bytes:binary,json:string,kind:tinyint>"
+MIXED_NAMES = ["rank", "flag", "number", "real", "time", "text", "bytes", "json", "kind"]
+PLACE = {"bool": "flag", "int": "number", "bigint": "number", "double": "real", "datetime": "time", "string": "text", "bytes": "bytes", "list": "json", "map": "json"}
+
+
 class Big(int):
     """An integer of up to 128 bits that isn't an int64, also where it would fit."""
 
@@ -37,8 +46,40 @@ def kind_of(value: object) -> str:
     raise SchemaValidation(f"{type(value).__name__} is no value type")
 
 
+def is_mixed(t: T.DataType) -> bool:
+    return isinstance(t, T.StructType) and t.names == MIXED_NAMES
+
+
+def to_mixed(value: object) -> tuple | None:
+    """A value as a row of MIXED."""
+    kind = kind_of(value)
+    if kind == "null":
+        return None
+    if PLACE[kind] == "number":
+        held: object = decimal.Decimal(int(value))
+    else:
+        held = json.dumps(value, sort_keys=True, default=str) if PLACE[kind] == "json" else bytes(value) if kind == "bytes" else value
+    rank = RANKS["int"] if kind == "bigint" else RANKS[kind]
+    return (rank, *(held if n == PLACE[kind] else None for n in MIXED_NAMES[1:-1]), RANKS[kind])
+
+
+def from_mixed(row: Row | None) -> object:
+    """The value that a row of MIXED holds."""
+    if row is None:
+        return None
+    kind = next(k for k, r in RANKS.items() if r == row["kind"])
+    held = row[PLACE[kind]]
+    if kind == "int":
+        return int(held)
+    if kind == "bigint":
+        return Big(held)
+    return json.loads(held) if PLACE[kind] == "json" else held
+
+
 def kind_of_type(t: T.DataType) -> str:
-    """The kind of a column's values."""
+    """The kind of a column's values; `mixed` for the type of several."""
+    if is_mixed(t):
+        return "mixed"
     if isinstance(t, T.DecimalType):
         if t.scale:
             raise SchemaValidation("decimals with a scale are no value type")
@@ -51,6 +92,11 @@ def kind_of_type(t: T.DataType) -> str:
 
 def literal(value: object, t: T.DataType) -> Column:
     """A literal of a column's own type; its kind has been checked."""
+    if is_mixed(t):
+        row = value if isinstance(value, Row) or value is None else to_mixed(value)
+        if row is None:
+            return F.lit(None).cast(t)
+        return F.struct(*(F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(row, t.fields, strict=True)))
     if isinstance(value, (Big, decimal.Decimal)) or isinstance(t, T.DecimalType):
         return F.lit(decimal.Decimal(int(value))).cast(T.DecimalType(38, 0))
     if isinstance(value, (list, tuple)):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidOperation
 from ..functions.ordering import SortSpec, order_by
 from ..functions.predicates import Eq, Prefix, Range
-from ..functions.values import ABSENT, kind_of_type, present
+from ..functions.values import ABSENT, is_mixed, kind_of_type, literal, present
 
 PAGE = 50
 LEFT = "_left"
@@ -94,7 +94,7 @@ class Query:
 
     def after(self, row: Row | dict) -> Column:
         """Rows that come after `row` in this query's order: a keyset condition on the whole sort tuple."""
-        row = row.asDict() if isinstance(row, Row) else row
+        row = row.asDict() if isinstance(row, Row) else row  # structs in it stay rows
         steps: list[tuple[Column, Column]] = []  # (equal, after) for each part of the order
         for s in self.specs:
             if s.field not in self.df.columns:
@@ -104,7 +104,8 @@ class Query:
                 missing = s.field in (row[ABSENT] or ())
                 here = present(self.df, s.field)
                 steps.append((here != F.lit(missing), F.lit(False) if missing != s.descending else (here if s.descending else ~here)))
-            value = F.lit(v).cast(self.df.schema[s.field].dataType)
+            kind = self.df.schema[s.field].dataType
+            value = literal(v, kind) if is_mixed(kind) else F.lit(v).cast(kind)
             if v is None:
                 steps.append((c.isNull(), F.lit(False) if s.descending else c.isNotNull()))
             else:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query
 from .functions.ordering import SortSpec
+from .functions.values import MIXED
 from .operators import changes
 from .operators.attachments import Attachments
 from .operators.conflicts import Version
@@ -369,3 +370,12 @@ def q_schema_defaults(db, t):
         for r in t("nation").collect():
             w.put("nations", {"n_nationkey": r["n_nationkey"], "n_name": r["n_name"], **({"n_regionkey": r["n_regionkey"]} if r["n_nationkey"] % 2 else {})})
     return nations.frame().select("n_nationkey", "n_name", "n_regionkey")
+
+
+@stored("SELECT s_suppkey AS id, s_suppkey % 4 AS kind FROM supplier WHERE s_suppkey % 4 = 1 OR (s_suppkey % 4 = 0 AND s_suppkey <= 40)")
+def q_mixed_kinds(db, t):
+    """Whole numbers, doubles, texts and nulls in one field: an upper bound keeps numbers up to it and nulls, not other kinds."""
+    c = db.collection("c", "id", f"id bigint, n {MIXED}")
+    kinds = [int, lambda i: None, float, str]
+    c.bulk_write([{"id": r["s_suppkey"], "n": kinds[r["s_suppkey"] % 4](r["s_suppkey"])} for r in t("supplier").select("s_suppkey").collect()])
+    return c.query().range("n", max=40).matching().select("id", (F.col("id") % 4).alias("kind"))
