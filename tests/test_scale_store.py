@@ -201,3 +201,19 @@ def test_local_versions_and_removed_fields(db, users, spark):
     for base, local, remote, want in ((here, here, gone, (None, False)), (here, gone, here, (None, False)), (here, null, here, (None, True)), (gone, here, gone, (1, True))):
         value, there = three_way_presence(base, local, remote)
         assert tuple(spark.range(1).select(value, there).first()) == want
+
+
+def test_listeners_are_told_without_the_lock(db, users):
+    seen = []
+
+    def told(change):
+        other = threading.Thread(target=lambda: seen.append(db._lock.acquire(timeout=5) and (db._lock.release() or change.lsn)))
+        other.start()
+        other.join()
+        if change.lsn == 1:
+            users.put({"id": "nested"})
+
+    db.listeners.append(told)
+    users.put({"id": "a"})
+    users.bulk_write([{"id": "b"}])
+    assert seen == [1, 2, 3]
