@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ SAMPLE_DOCS = 3000  # of either label, whose windows fit the field
 WINDOWS = 24_000  # aimed at; a document gives 4 to 40
 ODDS, FALSE = 20.0, 10  # how much commoner a toxic word is, and how many words chance alone may let through
 DIMENSIONS = 1 << 17
+SIDES = {"<": 11, ">": 12}  # start values of the hashes of neighbours
 REACH = 7  # words on either side in a training window
 FOLDS = 5
 CACHED_WORDS = 1 << 16
@@ -47,14 +49,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
+def _hashes(word: bytes) -> list[int]:
+    """Hashes of a word, its end, its length and its beginnings, each kind from a start value of its own."""
+    n = len(word)
+    return [crc32(word, 1), crc32(word[-3:], 2), min(n, 12) * 7919, *[crc32(word[:k], k) for k in (3, 4, 5, 6) if n > k]]
+
+
 def word_features(word: str) -> list[int]:
-    """Places of a word's own features: the word, its beginnings, its end and its length."""
-    names = [f"w={word}", *(f"p{n}={word[:n]}" for n in (3, 4, 5, 6) if len(word) > n), f"s3={word[-3:]}", f"n={min(len(word), 12)}"]
-    return [zlib.crc32(x.encode()) % DIMENSIONS for x in names]
+    """Places of a word's own features."""
+    return [h % DIMENSIONS for h in _hashes(word.encode())]
 
 
 def side_feature(side: str, word: str) -> int:
-    return zlib.crc32(f"{side}={word}".encode()) % DIMENSIONS
+    return crc32(word.encode(), SIDES[side]) % DIMENSIONS
 
 
 def marginals(score: np.ndarray, mask: np.ndarray, field: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -197,10 +204,14 @@ class Tagger:
             w, bias = self.field["w"], self.field["bias"]
             while len(place) + len(new) > len(self.weights):
                 self.weights = np.concatenate((self.weights, np.zeros_like(self.weights)))
-            for x in new:
-                low = x.lower()
-                self.weights[len(place)] = w[word_features(low)].sum() + bias, w[side_feature("<", low)], w[side_feature(">", low)]
-                place[x] = len(place)
+            lower = [x.lower().encode() for x in new]
+            own = [_hashes(x) for x in lower]
+            starts = np.cumsum([0, *map(len, own[:-1])])
+            rows = self.weights[len(place) : len(place) + len(new)]
+            rows[:, 0] = np.add.reduceat(w[np.fromiter(chain.from_iterable(own), np.int64) % DIMENSIONS], starts) + bias
+            for k, start in enumerate(SIDES.values(), 1):
+                rows[:, k] = w[np.array([crc32(x, start) for x in lower], np.int64) % DIMENSIONS]
+            place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
         return np.fromiter(map(place.__getitem__, words), np.int64, len(words))
 
     def tag(self, texts: list[str]) -> list[np.ndarray]:
