@@ -30,8 +30,8 @@ from .common import row_batches, table, worker_state
 
 END = "Ā"  # stands for the end of a word after its last byte
 PIECE = 1 << 20  # characters of a text that are split into words at a time, cut before white space
-CACHED_WORDS = 1 << 16
-CACHED_PAIRS = 1 << 17
+CACHED_WORDS = 1 << 18
+CACHED_PAIRS = 1 << 18
 
 
 def load(path: str) -> dict:

@@ -41,7 +41,7 @@ DIMENSIONS = 1 << 17
 SIDES = {"<": 11, ">": 12}  # start values of the hashes of neighbours
 REACH = 7  # words on either side in a training window
 FOLDS = 5
-CACHED_WORDS = 1 << 16
+CACHED_WORDS, COUNTED_WORDS = 1 << 18, 1 << 16
 
 
 def held_out(doc_id: Column) -> Column:
@@ -282,7 +282,7 @@ def _count_words(only: set[str] | None):
             for text in b.column(0).to_pylist():
                 found = set(WORD.findall((text or "").lower()))
                 counts.update(found if only is None else found & only)
-            if len(counts) > CACHED_WORDS:
+            if len(counts) > COUNTED_WORDS:
                 yield pa.RecordBatch.from_arrays([pa.array([*counts]), pa.array([*counts.values()], pa.int64())], ["word", "n"])
                 counts.clear()
         yield pa.RecordBatch.from_arrays([pa.array([*counts], pa.string()), pa.array([*counts.values()], pa.int64())], ["word", "n"])
