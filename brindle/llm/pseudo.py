@@ -5,12 +5,17 @@ embeddings, a hidden layer, and a softmax in two steps, first over `CLASSES` cla
 the words of the class, both given the window.  The `OWN` most frequent words, cut by a threshold of their counts,
 have an embedding and an output each; a class's other words share an embedding and one output, the rest, whose
 probability they divide by their own counts in the corpus, smoothed by `LEAST` a word; unseen words of a class share
-one such part.  The network's weights are fitted in numpy on windows of documents picked by hash, about `SAMPLE`
-windows; that is the only sample.
+one such part.  The network's weights are fitted in numpy on every window of every document: the driver starts them on about `SAMPLE`
+windows, then `_learn` takes each of the others once, in rounds that grow `GROWTH`-fold.  In a round each task goes
+on from the same weights over its own rows, and the results are averaged by their numbers of windows.
 
 What the corpus itself says grows with it and is kept in tables, not in the network: the count of every distinct
-word, and, for the windows (left, right) whose hash is divisible by `MEMORY`, the counts of all words that stand in
-them.  There the network's probability p of a word c becomes (count(left, c, right) + p) / (count(left, ., right) + 1).
+word, and, for every window (left, right), the counts of all words that stand in it (`MEMORY` 1; a larger one would
+keep the windows whose hash it divides).  There the network's probability p of a word c becomes
+(count(left, c, right) + p) / (count(left, ., right) + 1).  Windows are counted and looked up in the same shuffle: packed
+tokens go to buckets by window, and those of `HOT` windows, whose counts are known by then, by window and word.
+Each of `PASSES` passes over the texts does this for its share of all windows, so that disks hold one share at a time.
+The weights depend, slightly, on how the table is dealt over tasks.
 A document's own tokens are left out of all these counts, so that text which stands nowhere else scores as unseen and
 text that repeats elsewhere scores high.
 
@@ -22,27 +27,36 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, row_batches, table, worker_state, written
+from .common import discard, give_back, row_batches, table, worker_state, written
 
 KNOWN, OWN = 1 << 17, 1 << 11  # words whose counts are broadcast, and those with an output, at most
 LEAST = 0.1
 CLASSES = 48
 SIDE, EMBEDDING, HIDDEN = 2, 16, 24
-SAMPLE, BATCH, EPOCHS = 200_000, 1024, 3
-MEMORY = 32
+SAMPLE, BATCH, EPOCHS = 200_000, 1024, 3  # of the start
+GROWTH, LARGE_BATCH, RATE, SLICES = 8, 4096, 0.004, 8  # of the rounds over all other windows
+MEMORY = 1
+HOT = 1000  # one in so many windows or pairs of window and word makes one hot
+BUCKET, BUCKETS = 1 << 19, 1024  # tokens of a bucket, until there are so many
+PASSES, TASK = 2, 8  # over the texts to settle all windows, each for its own share, as disk holds a share at a time; buckets of a task
+HELD = 1 << 21  # rows that a task sums up
+RARE = 0xFFFFFFFF  # the code of a word that is not in the vocabulary
 ENDING = 3  # letters that give a rare word its class
 CACHED_WORDS, CACHED_ENDS = 1 << 18, 1 << 16
 STEPS_PER_DOUBLING = 8  # of the histogram of counts
@@ -145,13 +159,25 @@ def _memory(key: np.ndarray, sizes: np.ndarray, memory: int) -> tuple[np.ndarray
     return window, np.flatnonzero(window % U(memory) == 0)
 
 
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by all keys, the first place of each run of equal ones in it, and the runs' lengths."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    return order, first, np.diff(np.append(first, len(order)))
+
+
 def _gather(memory: int):
-    """(word, n) and (window, key, n): counts of a task."""
-    names = ["word", "window", "key", "n"]
+    """(word, n): counts of a task; (window, n): windows that a batch holds often."""
 
-    def counts_of(tally: dict[str, int]) -> pa.RecordBatch:
-        none = pa.nulls(len(tally), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([*tally], pa.string()), none, none, pa.array([*tally.values()], pa.int64())], names)
+    def rows_of(words: list, windows: np.ndarray, n: list) -> pa.RecordBatch:
+        none = pa.nulls(len(words), pa.int64()), pa.nulls(len(windows), pa.string())
+        columns = pa.concat_arrays([pa.array(words, pa.string()), none[1]]), pa.concat_arrays([none[0], pa.array(windows.view(np.int64))])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], ["word", "window", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("pseudo-gather")
@@ -160,16 +186,14 @@ def _gather(memory: int):
             words, at, sizes = read_words(b.column(0))
             tally.update(dict(zip(words, np.bincount(at, minlength=len(words)).tolist(), strict=True)))
             if len(tally) > CACHED_WORDS:
-                yield counts_of(tally)
+                yield rows_of([*tally], np.empty(0, U), [*tally.values()])
                 tally.clear()
             key = np.array([key_of(w) for w in words], U)[at]
             window, kept = _memory(key, sizes, memory)
-            order = np.lexsort((key[kept], window[kept]))
-            pairs = np.stack((window[kept], key[kept]))[:, order]
-            first = np.flatnonzero(np.append(True, (pairs[:, 1:] != pairs[:, :-1]).any(0))) if len(order) else order
-            n = np.diff(np.append(first, len(order)))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.string()), *(pa.array(x[first].view(np.int64)) for x in pairs), pa.array(n.astype(np.int64))], names)
-        yield counts_of(tally)
+            found, n = np.unique(window[kept], return_counts=True)
+            often = n * HOT >= len(at)
+            yield rows_of([], found[often], n[often].tolist())
+        yield rows_of([*tally], np.empty(0, U), [*tally.values()])
 
     return run
 
@@ -189,29 +213,148 @@ def _masses(shared):
     return run
 
 
+def _rows_of(tokens: Tokens, words: list[str], at: np.ndarray, sizes: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every token's inputs on both sides, class and slot; which of them the start takes, one in `keep`; and keys."""
+    number, kind, slot, _, key = tokens.read(words)[:, at]
+    sides = _sides(number, sizes, tokens.edge)
+    place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    start = mixed(place.astype(U) + mixed(key.view(U))) % U(keep) == 0
+    return np.stack([*sides, kind, slot], 1).astype("<i4"), start, key.view(U)
+
+
 def _windows(shared, keep: int):
-    """Windows of tokens for fitting: inputs on both sides, class and slot; one in `keep` of a text, by place."""
+    """Windows of tokens for the start; one in `keep` of a text, by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(*shared.value)
         for b in row_batches(batches):
+            rows, start, _ = _rows_of(tokens, *read_words(b.column(0)), keep)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in rows[start]], pa.binary())], ["window"])
+
+    return run
+
+
+def _learn(shared, state, keep: int, first: bool, memory: int):
+    """Slices of a task's weights after all its windows, and the counts of words in hot windows.
+
+    In the first round the start has had one in `keep` windows of each text already.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("pseudo-learn")
+        tokens, (flat, learner, step, hot) = Tokens(*shared.value), state.value
+        learner, seen, task = learner.placed(flat, step), 0, TaskContext.get().partitionId()
+        rng = np.random.default_rng(task)
+        for b in row_batches(batches, 2 << 20):
             words, at, sizes = read_words(b.column(0))
-            number, kind, slot, _, key = tokens.read(words)[:, at]
-            sides = _sides(number, sizes, tokens.edge)
-            place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            kept = np.flatnonzero(mixed(place.astype(U) + mixed(key.view(U))) % U(keep) == 0)
-            rows = np.stack([*(x[kept] for x in sides), kind[kept], slot[kept]], 1).astype("<i4")
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in rows], pa.binary())], ["window"])
+            rows, start, key = _rows_of(tokens, words, at, sizes, keep)
+            if len(hot):
+                window, kept = _memory(key, sizes, memory)
+                kept = kept[np.isin(window[kept], hot)]
+                order, runs, n = _runs(key[kept], window[kept])
+                one = kept[order[runs]]
+                none = pa.nulls(len(n), pa.int32())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(n), pa.nulls(len(n), pa.binary()), pa.array(window[one].view(np.int64)), pa.array(key[one].view(np.int64))], _LEARNT_NAMES)
+            rows = rows[~start] if first else rows
+            rows = rows[rng.permutation(len(rows))]
+            seen += len(rows)
+            for part in np.array_split(rows, -(-len(rows) // LARGE_BATCH)) if len(rows) else ():
+                learner.learn(part, RATE)
+        if seen:
+            cuts = [x.tobytes() for x in np.array_split(learner.flat(), SLICES)]
+            none = pa.nulls(SLICES, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([task] * SLICES, pa.int32()), pa.array([seen] * SLICES, pa.int64()), pa.array(cuts, pa.binary()), none, none], _LEARNT_NAMES)
 
     return run
 
 
+_LEARNT = "slice int, task int, n bigint, data binary, window bigint, key bigint"
+_LEARNT_NAMES = [x.split()[0] for x in _LEARNT.split(", ")]
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of each slice over all tasks, weighted by their windows."""
+    sums: dict[int, np.ndarray] = {}
+    weights: Counter[int] = Counter()
+    for b in batches:
+        for r in b.to_pylist():
+            part = np.frombuffer(r["data"], np.float32).astype(float) * r["n"]
+            sums[r["slice"]] = sums[r["slice"]] + part if r["slice"] in sums else part
+            weights[r["slice"]] += r["n"]
+    data = [(x / weights[k]).tobytes() for k, x in sums.items()]
+    yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([*weights.values()], pa.int64()), pa.array(data, pa.binary())], ["slice", "n", "data"])
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     z = np.exp(z - z.max(1, keepdims=True))
     return z / z.sum(1, keepdims=True)
 
 
-def fit(windows: np.ndarray, inputs: int, outputs: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
+def _missed(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, n: float) -> np.ndarray:
+    """Each row's softmax less the one that was to be found, over `n`."""
+    z = h @ weights
+    z += bias - (np.abs(weights).sum(0) + bias).max()  # at or below 0, as no hidden value lies outside -1 to 1
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    if not (total > 1e-25).all():  # the bound is too far above these rows
+        z = softmax(h @ weights + bias)
+        total = np.ones(len(z), z.dtype)
+    total *= n
+    z /= total[:, None]
+    z[np.arange(len(z)), at] -= 1 / n
+    return z
+
+
+class Learner:
+    """A network's weights on their way, by Adam."""
+
+    def __init__(self, p: dict[str, np.ndarray], m: dict[str, np.ndarray] | None = None, v: dict[str, np.ndarray] | None = None, step: int = 0):
+        zero = lambda: {k: np.zeros_like(x) for k, x in p.items()}
+        self.p, self.m, self.v, self.step = p, m or zero(), v or zero(), step
+
+    def learn(self, rows: np.ndarray, rate: float) -> None:
+        """A step along the gradient of a minibatch."""
+        p, sides, one = self.p, 2 * SIDE, np.float32
+        rows = rows[np.argsort(rows[:, sides].astype(np.int16), kind="stable")]
+        n = one(len(rows))
+        inputs = rows[:, :sides].ravel()
+        x = p["e"].take(inputs, 0).reshape(len(rows), -1)
+        h = x @ p["w"]
+        h += p["b"]
+        np.tanh(h, out=h)
+        ones = np.ones(len(rows), one)
+        miss = _missed(h, p["c"], p["c0"], rows[:, sides], n)
+        g = {"c": h.T @ miss, "c0": ones @ miss, "d": np.zeros_like(p["d"]), "d0": np.zeros_like(p["d0"])}
+        back = miss @ p["c"].T
+        found, first = np.unique(rows[:, sides], return_index=True)
+        for k, lo, hi in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(rows)], strict=True):
+            cut = h[lo:hi]
+            part = _missed(cut, p["d"][k].T, p["d0"][k], rows[lo:hi, sides + 1], n)
+            g["d"][k], g["d0"][k] = part.T @ cut, ones[lo:hi] @ part
+            back[lo:hi] += part @ p["d"][k]
+        h *= h
+        back *= 1 - h
+        g["w"], g["b"] = x.T @ back, ones @ back
+        back = (back @ p["w"].T).reshape(-1, EMBEDDING)
+        g["e"] = np.stack([np.bincount(inputs, x, len(p["e"])) for x in back.T], 1).astype(one)
+        self.step += 1
+        m, v, rate = self.m, self.v, one(rate)
+        for k, x in g.items():
+            m[k] += one(0.1) * (x - m[k])
+            v[k] += one(0.01) * (x * x - v[k])
+            p[k] -= rate * (m[k] / one(1 - 0.9**self.step)) / (np.sqrt(v[k] / one(1 - 0.99**self.step)) + one(1e-8))
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for part in (self.p, self.m, self.v) for x in part.values()])
+
+    def placed(self, flat: np.ndarray, step: int) -> Learner:
+        """The same kind of learner with other numbers."""
+        ends = np.cumsum([x.size for part in (self.p, self.m, self.v) for x in part.values()])[:-1]
+        cut = iter(np.split(flat.astype(np.float32), ends))
+        return Learner(*({k: next(cut).reshape(x.shape).copy() for k, x in part.items()} for part in (self.p, self.m, self.v)), step)
+
+
+def fit(windows: np.ndarray, inputs: int, outputs: np.ndarray, seed: int = 3) -> Learner:
     """The network's weights from rows of (inputs on both sides, class, slot), by Adam on seeded minibatches.
 
     `outputs` tells which (class, slot) there are; others never get any probability.
@@ -233,37 +376,12 @@ def fit(windows: np.ndarray, inputs: int, outputs: np.ndarray, seed: int = 3) ->
         "d0": np.where(outputs, np.log(within / within.sum(1, keepdims=True)), never),
     }
     p = {k: x.astype(one) for k, x in p.items()}
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    step = 0
+    learner = Learner(p)
     for _ in range(EPOCHS):
         order = rng.permutation(len(windows))
         for lo in range(0, len(order), BATCH):
-            rows = windows[order[lo : lo + BATCH]]
-            n = one(len(rows))
-            x = p["e"][rows[:, :sides]].reshape(len(rows), -1)
-            h = np.tanh(x @ p["w"] + p["b"])
-            miss = softmax(h @ p["c"] + p["c0"])
-            miss[np.arange(len(rows)), rows[:, sides]] -= 1
-            miss /= n
-            g = {"c": h.T @ miss, "c0": miss.sum(0), "d": np.zeros_like(p["d"]), "d0": np.zeros_like(p["d0"])}
-            back = miss @ p["c"].T
-            for k, at in _by_class(rows[:, sides]):
-                part = softmax(h[at] @ p["d"][k].T + p["d0"][k])
-                part[np.arange(len(at)), rows[at, sides + 1]] -= 1
-                part /= n
-                g["d"][k], g["d0"][k] = part.T @ h[at], part.sum(0)
-                back[at] += part @ p["d"][k]
-            back *= 1 - h * h
-            g["w"], g["b"] = x.T @ back, back.sum(0)
-            g["e"] = np.zeros_like(p["e"])
-            np.add.at(g["e"], rows[:, :sides].ravel(), (back @ p["w"].T).reshape(-1, EMBEDDING))
-            step += 1
-            rate = one(0.01 * min(1.0, 2 - 1.9 * step * BATCH / max(1, EPOCHS * len(order))))
-            for k, x in g.items():
-                m[k] += one(0.1) * (x - m[k])
-                v[k] += one(0.01) * (x * x - v[k])
-                p[k] -= rate * (m[k] / one(1 - 0.9**step)) / (np.sqrt(v[k] / one(1 - 0.99**step)) + one(1e-8))
-    return p
+            learner.learn(windows[order[lo : lo + BATCH]], 0.01 * min(1.0, 2 - 1.9 * (learner.step + 1) * BATCH / max(1, EPOCHS * len(order))))
+    return learner
 
 
 def _by_class(kinds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -318,6 +436,16 @@ def _picked(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray
     return won - np.log(total)
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """As `written`; what the way there shuffled goes from the disks then."""
+    spark = df.sparkSession
+    out = written(df, name)
+    del df
+    gc.collect()  # frames that Python holds keep their shuffles
+    spark._jvm.System.gc()
+    return out
+
+
 def _frequent(words: DataFrame, most: int) -> int:
     """The least count that at most `most` words have; found by a histogram of counts."""
     level = F.floor(F.log2("n") * STEPS_PER_DOUBLING).cast("int")
@@ -331,12 +459,14 @@ def _frequent(words: DataFrame, most: int) -> int:
 
 
 def train(docs: DataFrame) -> dict:
-    """The network, counts of all words and remembered windows, and masses of classes, from all rows."""
+    """The network, counts of all words, masses of classes and counts of hot windows, from all rows."""
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    found = written(texts.mapInArrow(_gather(MEMORY), "word string, window bigint, key bigint, n bigint"), "found")
-    words = written(found.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    windows = written(found.where("word is null").groupBy("window", "key").agg(F.sum("n").alias("n")), "windows")
+    found = written(texts.mapInArrow(_gather(MEMORY), "word string, window bigint, n bigint"), "found")
+    words = _written(found.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    often = found.where("word is null").groupBy("window").agg(F.sum("n").alias("n")).where(F.col("n") * HOT >= total).collect()
+    hot = np.sort(np.array([r["window"] for r in often], np.int64).view(U))
     discard(found)
     known = words.where(F.col("n") >= _frequent(words, KNOWN)).collect()
     vocabulary = sorted(((r["word"], r["n"]) for r in known), key=lambda x: (-x[1], x[0]))
@@ -346,121 +476,304 @@ def train(docs: DataFrame) -> dict:
     mass = np.full(CLASSES, LEAST)
     for r in words.select("word", "n").mapInArrow(_masses(shared), "class int, mass double").groupBy("class").agg(F.sum("mass").alias("mass")).collect():
         mass[r["class"]] += r["mass"]
-    total = words.agg(F.sum("n")).first()[0] or 0
     keep = 8 if total > 8 * SAMPLE else 1  # from more documents, some of each one's windows
-    part = min(1.0, SAMPLE * keep / max(1, total))
-    chosen = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(part * (1 << 30))))
-    rows = sorted(bytes(r["window"]) for r in chosen.mapInArrow(_windows(shared, keep), "window binary").collect())
-    sample = np.frombuffer(b"".join(rows), "<i4").reshape(-1, 2 * SIDE + 2)
+    top = 1 << 30
+    end = int(min(1.0, SAMPLE * keep / max(1, total)) * top)
+    place = F.pmod(F.xxhash64("text"), F.lit(top))
+    rows = sorted(bytes(r["window"]) for r in texts.where(place < F.lit(end)).mapInArrow(_windows(shared, keep), "window binary").collect())
     tokens = Tokens(vocabulary, own)
-    return {"words": words, "windows": windows, "vocabulary": vocabulary, "own": own, "mass": mass, "memory": MEMORY, "network": fit(sample, tokens.edge + 1, tokens.outputs())}
-
-
-_LOOKED_UP = "row bigint, kind tinyint, n bigint, part double, key bigint, own bigint, window bigint, inside bigint, same bigint"
+    learner = fit(np.frombuffer(b"".join(rows), "<i4").reshape(-1, 2 * SIDE + 2), tokens.edge + 1, tokens.outputs())
+    ends = [0, end]
+    while ends[-1] < top:
+        ends.append(min(top, max(ends[-1], 1) * GROWTH))
+    pairs, fitted = [], len(rows)
+    if total > SAMPLE:  # else the start has had all
+        for low, high in pairwise(ends):
+            state = spark.sparkContext.broadcast((learner.flat(), learner.placed(np.zeros(learner.flat().size), 0), learner.step, hot))
+            learnt = written(texts.where(place.between(low, high - 1)).mapInArrow(_learn(shared, state, keep, not low, MEMORY), _LEARNT), "learnt")
+            pairs.append(learnt.where("slice is null").select("window", "key", "n"))
+            parts = learnt.where("slice is not null").repartition(SLICES, "slice").sortWithinPartitions("slice", "task").mapInArrow(_averaged, "slice int, n bigint, data binary").collect()
+            if parts:
+                fitted += parts[0]["n"]
+                learner = learner.placed(np.concatenate([np.frombuffer(r["data"], float) for r in sorted(parts)]), max(learner.step, 1000))
+            state.unpersist()
+    model = {"vocabulary": vocabulary, "own": own, "mass": mass, "memory": MEMORY, "network": learner.p, "words": words, "docs": docs, "total": total, "fitted": fitted}
+    return model | {"hot": _hot(pairs, hot, total)}
+
+
+def _hot(pairs: list[DataFrame], hot: np.ndarray, total: int) -> tuple[np.ndarray, ...]:
+    """The hot windows, their counts, the hot ones of their pairs with words (by hash) and the counts of these."""
+    n, m = [], []
+    if pairs and len(hot):
+        table_ = written(reduce(DataFrame.unionAll, pairs).groupBy("window", "key").agg(F.sum("n").alias("n")), "hot")
+        n = sorted((r["window"] % (1 << 64), r["n"]) for r in table_.groupBy("window").agg(F.sum("n").alias("n")).collect())
+        often = [(r["window"] % (1 << 64), r["key"] % (1 << 64), r["n"]) for r in table_.where(F.col("n") * HOT >= total).collect()]
+        w, k = (np.array([x[i] for x in often], U) for i in range(2))
+        m = sorted(zip(window_of(w, k).tolist(), (x[2] for x in often), strict=True))
+        discard(table_)
+    return tuple(np.array([x[i] for x in part], kind) for part in (n, m) for i, kind in ((0, U), (1, np.int64)))
+
+
+_LOOKED_UP = "kind tinyint, row bigint, n bigint, part double, key bigint, own bigint, around bigint, windows bigint"
+_LOOKED_UP_NAMES = [x.split()[0] for x in _LOOKED_UP.split(", ")]
+BASE, ASKED, COUNTED, PLACED = range(4)  # kinds of packs: documents' sums, rare words, windows, hot windows' other words
+_PACKED = {  # the columns of each kind
+    BASE: (("row", "<u8"), ("n", "<i8"), ("part", "<f8"), ("windows", "<i8"), ("again", "<i8")),
+    ASKED: (("row", "<u8"), ("key", "<u8"), ("n", "<i8"), ("own", "<i8")),
+    COUNTED: (("group", "<u8"), ("doc", "<u4"), ("code", "<u4"), ("part", "<f4")),
+    PLACED: (("group", "<u8"), ("doc", "<u4"), ("code", "<u4"), ("part", "<f4"), ("around", "<i8")),
+}
+_RARE = (("key", "<u8"), ("own", "<u4"))  # of windows' rare words
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns as bytes, those of a place in the numbers together, as they are much the same."""
+    planes = b"".join(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in columns)
+    return _ZSTD.compress(planes, asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, rare: int, kind: int) -> dict[str, np.ndarray]:
+    columns = [(name, type_, n) for name, type_ in _PACKED[kind]] + [(f"rare_{name}", type_, rare) for name, type_ in _RARE]
+    sizes = [np.dtype(t).itemsize * k for _, t, k in columns]
+    planes, at, out = np.frombuffer(_ZSTD.decompress(data, sum(sizes), asbytes=True), np.uint8), 0, {}
+    for (name, type_, k), size in zip(columns, sizes, strict=True):
+        out[name] = np.ascontiguousarray(planes[at : at + size].reshape(np.dtype(type_).itemsize, k).T).reshape(-1).view(type_)
+        at += size
+    return out
 
 
-def _counts(*keys: np.ndarray) -> np.ndarray:
-    """How many rows share each row's keys."""
-    if not len(keys[0]):
-        return np.empty(0, np.int64)
-    order = np.lexsort(keys)
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    group = np.cumsum(new) - 1
+def _totals(*keys: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """How many rows share each row's keys; with `weights`, of those that count."""
+    order, first, n = _runs(*keys)
+    if weights is not None and len(order):
+        n = np.add.reduceat(weights[order].astype(np.int64), first)
     out = np.empty(len(order), np.int64)
-    out[order] = np.bincount(group)[group]
+    out[order] = np.repeat(n, np.diff(np.append(first, len(order))))
     return out
 
 
-def _score(shared, memory: int, leave_out: bool):
-    """A row of kind 0 for each document, and what it must look up: rare words (1) and remembered windows (2)."""
+_PACKS = "bucket int, kind tinyint, counts boolean, first bigint, n bigint, rare bigint, data binary"
+_PACK_NAMES = [x.split()[0] for x in _PACKS.split(", ")]
+
+
+def _score(shared, memory: int, leave_out: bool, buckets: int, asks: bool, counts: bool, passes: int, which: int):
+    """Packs of a task's documents, rare words and windows, which ask for counts, count themselves, or both.
+
+    Only tokens whose windows belong to this pass take part, but all count as their document's own.
+    """
 
     name = uuid.uuid4().hex
 
     def make() -> tuple:
         model = shared.value
-        return Tokens(model["vocabulary"], model["own"]), Network(model["network"]), model["mass"]
+        return Tokens(model["vocabulary"], model["own"]), Network(model["network"]), model["mass"], model["hot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, network, mass = worker_state(("pseudo", name), make)
-        for b in row_batches(batches, 2 << 20):
-            words, at, sizes = read_words(b.column(2))
+        tokens, network, mass, (hot, hot_n, often, often_n) = worker_state(("pseudo", name), make)
+        for number_of, b in enumerate(row_batches(batches, 2 << 20)):
+            ids = b.column(0).to_numpy()
+            words, at, sizes = read_words(b.column(1))
             doc = np.repeat(np.arange(len(sizes)), sizes)
+            code = np.fromiter(map(tokens.index.get, words, repeat(RARE)), np.uint32, len(words))[at]
             number, kind, slot, known, key = tokens.read(words)[:, at]
             key = key.view(U)
-            logs = network.logs(_sides(number.astype(np.int32), sizes, tokens.edge), kind, slot)
-            rest = np.flatnonzero(slot == tokens.rest)
-            own = np.zeros(len(at), np.int64)
-            own[rest] = _counts(doc[rest], key[rest])
-            less = _counts(doc[rest], kind[rest]) if leave_out else 0
-            logs[rest] -= np.log(np.maximum(mass[kind[rest]] - less, LEAST))
-            here = rest[known[rest] >= 0]
-            logs[here] += np.log(np.maximum(known[here] - (own[here] if leave_out else 0), 0) + LEAST)
             window, kept = _memory(key, sizes, memory)
-            inside, same = _counts(doc[kept], window[kept]), _counts(doc[kept], window[kept], key[kept])
-            plain = np.ones(len(at), bool)
-            plain[kept] = False
-            rare = rest[(known[rest] < 0) & plain[rest]]
-            pairs, first, times = np.unique(np.stack((doc[rare].astype(U), key[rare]), 1), axis=0, return_index=True, return_counts=True)
-            parts = np.bincount(doc[plain], logs[plain], len(sizes))
-            ids = b.column(1).to_numpy()
-            n = len(sizes), len(pairs), len(kept)
-
-            def column(base, words, windows, type_=pa.int64()) -> pa.Array:
-                return pa.concat_arrays([pa.nulls(k, type_) if x is None else pa.array(x, type_) for k, x in zip(n, (base, words, windows), strict=True)])
-
-            row = column(ids, ids[pairs[:, 0].astype(np.int64)], ids[doc[kept]])
-            signed = lambda x: np.ascontiguousarray(x).view(np.int64)
-            windowed = [pa.array(signed(key[kept])), pa.array(own[kept])]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([b.column(0), pa.nulls(n[1] + n[2], b.column(0).type)]),
-                    row,
-                    pa.array(np.repeat(np.arange(3, dtype=np.int8), n)),
-                    column(sizes, times, (known[kept] < 0).astype(np.int64)),  # 1: a window whose word must be looked up
-                    column(parts, None, logs[kept], pa.float64()),
-                    pa.concat_arrays([pa.nulls(n[0], pa.int64()), pa.array(signed(pairs[:, 1])), windowed[0]]),
-                    pa.concat_arrays([pa.nulls(n[0], pa.int64()), pa.array(own[rare][first]), windowed[1]]),
-                    column(None, None, signed(window[kept])),
-                    column(None, None, inside),
-                    column(None, None, same),
-                ],
-                ["doc_id", *(x.split()[0] for x in _LOOKED_UP.split(", "))],
-            )
+            mine = window % U(passes) == which
+            kept = kept[mine[kept]]
+            group, part, own = window[kept], np.zeros(len(at)), np.zeros(len(at), np.int64)
+            place = _found(hot, group)
+            in_hot = np.flatnonzero(place >= 0)
+            pair = window_of(group[in_hot], key[kept[in_hot]])
+            packs = []
+            if asks:
+                its = np.flatnonzero(mine)
+                part[its] = network.logs([x[its] for x in _sides(number.astype(np.int32), sizes, tokens.edge)], kind[its], slot[its])
+                rest = np.flatnonzero(slot == tokens.rest)
+                own[rest] = _totals(doc[rest], key[rest])
+                less = _totals(doc[rest], kind[rest]) if leave_out else np.zeros(len(rest), np.int64)
+                less, rest = less[mine[rest]], rest[mine[rest]]
+                part[rest] -= np.log(np.maximum(mass[kind[rest]] - less, LEAST))
+                here = rest[known[rest] >= 0]
+                part[here] += np.log(np.maximum(known[here] - (own[here] if leave_out else 0), 0) + LEAST)
+                rare = np.flatnonzero((known < 0) & mine)
+                order, first, times = _runs(key[rare], doc[rare])
+                one = rare[order[first]]
+                packs.append((ASKED, [ids[doc[one]].view(U), key[one], times, own[one]]))
+                # hot pairs' counts are known here
+                around, n_pair = hot_n[place[in_hot]], _found(often, pair)
+                if leave_out:
+                    around = around - _totals(doc[kept[in_hot]], group[in_hot])
+                easy = (n_pair >= 0) & (known[kept[in_hot]] >= 0)
+                it = kept[in_hot[easy]]
+                again = often_n[n_pair[easy]] - (_totals(doc[it], pair[easy]) if leave_out else 0)
+                base = np.bincount(doc, part, len(sizes)) + np.bincount(doc[it], _more(again, around[easy], part[it]), len(sizes))
+                recalled = np.bincount(doc[it], again > 0, len(sizes)).astype(np.int64)
+                packs.append((BASE, [ids.view(U), sizes.astype(np.int64) * (which == 0), base, np.bincount(doc[kept], minlength=len(sizes)), recalled]))
+                hard = in_hot[~easy]
+                packs.append((PLACED, _sorted(pair[~easy], kept[hard], doc, code, part, around[~easy])))
+            elif counts:
+                packs.append((PLACED, _sorted(pair, kept[in_hot], doc, code, part, np.zeros(len(pair), np.int64))))
+            cold = np.flatnonzero(place < 0)
+            packs.append((COUNTED, _sorted(group[cold], kept[cold], doc, code, part)))
+            rows: list[tuple] = []
+            for k, columns in packs:
+                if k in (BASE, ASKED):
+                    rows.append((number_of % buckets, k, False, 0, len(columns[0]), 0, _packed([*columns, *(np.empty(0, t) for _, t in _RARE)])))
+                    continue
+                at_, columns = columns[0], columns[1:]
+                group_, ends = columns[0], _edges(columns[0], buckets)
+                is_rare = code[at_] == RARE
+                rare_ends = np.append(0, np.cumsum(is_rare))[ends]
+                rare_columns = key[at_[is_rare]], own[at_[is_rare]].astype(np.uint32)
+                steps = np.diff(group_, prepend=U(0))
+                for i in np.flatnonzero(np.diff(ends)).tolist():
+                    cut, rare_cut = slice(ends[i], ends[i + 1]), slice(rare_ends[i], rare_ends[i + 1])
+                    steps[ends[i]] = group_[ends[i]]
+                    data = _packed([steps[cut], *(x[cut] for x in columns[1:]), *(x[rare_cut] for x in rare_columns)])
+                    rows.append((i, k, counts, int(ids[0]), cut.stop - cut.start, int(rare_cut.stop - rare_cut.start), data))
+            columns = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int32(), pa.int8(), pa.bool_(), *[pa.int64()] * 3, pa.binary()), strict=True)], _PACK_NAMES)
 
     return run
 
 
+def _found(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Each value's place among ordered ones, -1 for others."""
+    if not len(ordered):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+    return np.where(ordered[at] == values, at, -1)
+
+
+def _more(again: np.ndarray, around: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """What the counts of a token's window add to its log-probability."""
+    again, around = np.maximum(again, 0), np.maximum(around, 0)
+    return np.where(again > 0, np.log(again + np.exp(np.maximum(part, -600.0))) - part, 0.0) - np.log(around + 1.0)
+
+
+def _sorted(group: np.ndarray, at: np.ndarray, doc: np.ndarray, code: np.ndarray, part: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
+    """Places in order of their groups, and the columns of a pack in that order."""
+    order = np.argsort(group)
+    at = at[order]
+    return [at, group[order], doc[at].astype(np.uint32), code[at], part[at].astype(np.float32), *(x[order] for x in more)]
+
+
+def _edges(ordered: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket of ordered groups begins, and the end."""
+    inner = [(i << 64) // buckets for i in range(1, buckets)]
+    return np.concatenate([[0], np.searchsorted(ordered, np.array(inner, U)), [len(ordered)]]).astype(np.int64)
+
+
+def _settled(leave_out: bool):
+    """Rows of documents' sums, rare words whose counts are missing yet, and what the windows' counts add."""
+
+    def rows_of(kind: int, row: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+        columns |= {"kind": np.full(len(row), kind, np.int8), "row": row.view(np.int64)}
+        types = [pa.int8(), pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(len(row), t) for k, t in zip(_LOOKED_UP_NAMES, types, strict=True)], _LOOKED_UP_NAMES)
+
+    def settle(kind: int, packs: list[dict], sums: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """What all tokens of a bucket add."""
+        x = {k: np.concatenate([p[k] for p in packs]) for k in packs[0]}
+        group, row, own, key, asks = x["group"], x["row"], x["own"], x["word"], x["asks"]
+        around = x["around"] if kind == PLACED else _totals(group, weights=x["counts"])
+        again = _totals(key, group, weights=x["counts"])
+        if leave_out:  # rows that don't ask are numbered by themselves
+            again = again - _totals(row, key, group, weights=asks)
+            around = around if kind == PLACED else around - _totals(row, group, weights=asks)
+        new = np.flatnonzero(asks & (around > 0))
+        again, around, part, row, rare = again[new], around[new], x["part"][new].astype(float), row[new], x["rare"][new]
+        later = rare & (again > 0)
+        yield rows_of(3, row[later], key=key[new][later].view(np.int64), own=own[new][later], n=again[later], around=around[later], part=part[later])
+        sums.append((row[~later], _more(again, around, part)[~later], (again > 0)[~later].astype(np.int64)))
+        if sum(len(x[0]) for x in sums) > HELD:
+            sums[:] = [summed(sums)]
+            if len(sums[0][0]) > HELD // 2:
+                row, more, held = sums.pop()
+                yield rows_of(2, row, part=more, n=held)
+
+    def summed(sums: list[tuple]) -> tuple:
+        row, more, held = (np.concatenate(x) for x in zip(*sums, strict=True))
+        docs, at = np.unique(row, return_inverse=True)
+        return docs, np.bincount(at, more, len(docs)), np.bincount(at, held, len(docs)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("pseudo-settle")
+        last, packs, sums = None, [], []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["kind"] >= COUNTED and (r["bucket"], r["kind"]) != last:
+                    if packs:
+                        yield from settle(last[1], packs, sums)
+                    last, packs = (r["bucket"], r["kind"]), []
+                x = _unpacked(r["data"], r["n"], r["rare"], r["kind"])
+                if r["kind"] == BASE:
+                    yield rows_of(0, x["row"], n=x["n"], part=x["part"], windows=x["windows"], own=x["again"])
+                elif r["kind"] == ASKED:
+                    yield rows_of(1, x["row"], key=x["key"].view(np.int64), n=x["n"], own=x["own"])
+                else:
+                    rare = x["code"] == RARE
+                    word, own = x["code"].astype(U), np.zeros(r["n"], np.int64)
+                    word[rare], own[rare] = x["rare_key"], x["rare_own"]
+                    n = r["n"]
+                    pack = {"group": np.cumsum(x["group"], dtype=U), "row": x["doc"].astype(U) + U(r["first"]), "word": word, "own": own, "rare": rare, "part": x["part"]}
+                    if r["kind"] == PLACED:
+                        pack["around"] = x["around"]
+                    packs.append(pack | {"asks": np.full(n, r["asks"]), "counts": np.full(n, r["counts"])})
+        if packs:
+            yield from settle(last[1], packs, sums)
+        if sums:
+            row, more, held = summed(sums)
+            yield rows_of(2, row, part=more, n=held)
+        give_back()
+
+    return run
+
+
+def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield b.select(["row", "doc_id"])
+
+
 def score(docs: DataFrame, model: dict, leave_out: bool = True) -> DataFrame:
     """`doc_id`, `n_tokens`, `score`, `mean`, `n_windows` and `n_recalled` for every row of `docs`.
 
     With `leave_out` the rows of `docs` are rows of the model's corpus, and their own tokens don't count.
     """
-    ids = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast({k: x for k, x in model.items() if k not in ("words", "windows")})
-    texts = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-    looked = written(texts.mapInArrow(_score(shared, model["memory"], leave_out), f"doc_id {ids}, {_LOOKED_UP}"), "looked-up")
-    words = model["words"].groupBy(F.xxhash64("word").alias("key")).agg(F.sum("n").alias("word_n"))
-
-    def less(c: str, own: str):
-        count = F.coalesce(c, F.lit(0))
-        return F.greatest(count - F.col(own), F.lit(0)) if leave_out else count
-
-    # rare words, in remembered windows too: their counts come by a join
-    rare = looked.where("kind = 1 or kind = 2 and n = 1").join(words, "key", "left")
-    share = F.log(less("word_n", "own") + F.lit(LEAST))
-    rare = rare.select("row", "kind", "key", "window", "inside", "same", (F.when(F.col("kind") == 1, F.col("n") * share).otherwise(F.col("part") + share)).alias("part"))
-    ready = looked.where("kind = 2 and n = 0").select("row", "kind", "key", "window", "inside", "same", "part")
-    asked = rare.where("kind = 2").unionAll(ready)
-    around = model["windows"].groupBy("window").agg(F.sum("n").alias("window_n"))
-    seen = asked.join(around, "window", "left").join(model["windows"], ["window", "key"], "left")
-    again = less("n", "same")
-    seen = seen.select("row", F.log((again + F.exp(F.greatest("part", F.lit(-600.0)))) / (less("window_n", "inside") + F.lit(1.0))).alias("part"), F.lit(1).alias("windows"), (again > 0).cast("int").alias("recalled"))
-    more = rare.where("kind = 1").select("row", "part", F.lit(0).alias("windows"), F.lit(0).alias("recalled")).unionAll(seen)
-    sums = more.groupBy("row").agg(F.sum("part").alias("more"), F.sum("windows").alias("n_windows"), F.sum("recalled").alias("n_recalled"))
-    base = looked.where("kind = 0").select("doc_id", "row", F.col("n").alias("n_tokens"), "part")
-    zero = F.lit(0).cast("bigint")
-    out = base.join(sums, "row", "left").select("doc_id", "n_tokens", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score"), F.coalesce("n_windows", zero).alias("n_windows"), F.coalesce("n_recalled", zero).alias("n_recalled"))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast({k: model[k] for k in ("vocabulary", "own", "mass", "network", "hot")})
+    row, text = F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text")
+    total = model["total"]
+    buckets = max(1, min(-(-total // BUCKET), max(BUCKETS, -(-total // (8 * BUCKET)))))
+
+    def packs(of: DataFrame, asks: bool, counts: bool, which: int) -> DataFrame:
+        run = _score(shared, model["memory"], leave_out, buckets, asks, counts, PASSES, which)
+        return of.select(row, text, *["doc_id"] * asks).mapInArrow(run, _PACKS).withColumn("asks", F.lit(asks))
+
+    def settled(which: int) -> DataFrame:
+        # in the corpus itself each token asks and counts
+        whole = docs is model["docs"] and leave_out
+        dealt = packs(docs, True, True, which) if whole else packs(docs, True, False, which).unionAll(packs(model["docs"], False, True, which))
+        dealt = dealt.repartition(-(-buckets // TASK), "bucket").sortWithinPartitions("kind", "bucket", "first")
+        return _written(dealt.mapInArrow(_settled(leave_out), _LOOKED_UP), "looked-up")
+
+    looked = reduce(DataFrame.unionAll, map(settled, range(PASSES)))
+    words = model["words"].select(F.xxhash64("word").alias("key"), F.col("n").alias("word_n")).groupBy("key").agg(F.sum("word_n").alias("word_n"))
+
+    # rare words: their counts come by a join
+    count = F.coalesce("word_n", F.lit(0))
+    share = F.log((F.greatest(count - F.col("own"), F.lit(0)) if leave_out else count) + F.lit(LEAST))
+    rare = looked.where("kind = 1 or kind = 3").join(words, "key", "left").withColumn("share", share)
+    p = F.col("part") + F.col("share")
+    seen = F.log((F.col("n") + F.exp(F.greatest(p, F.lit(-600.0)))) / (F.col("around") + F.lit(1.0))) - p
+    rare = rare.select("row", F.when(F.col("kind") == 1, F.col("n") * F.col("share")).otherwise(seen).alias("part"), (F.col("kind") == 3).cast("bigint").alias("recalled"))
+    sums = rare.unionAll(looked.where("kind = 2").select("row", "part", "n")).groupBy("row").agg(F.sum("part").alias("more"), F.sum("recalled").alias("recalled"))
+    base = looked.where("kind = 0").groupBy("row").agg(F.sum("n").alias("n_tokens"), F.sum("part").alias("part"), F.sum("windows").alias("n_windows"), F.sum("own").alias("held"))
+    # read with their texts too, as the passes do: a plan of fewer columns could deal, and so number, the rows in another way
+    ids = docs.select(row, text, "doc_id").mapInArrow(_ids, f"row bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}")
+    out = ids.join(base, "row").join(sums, "row", "left")
+    out = out.select("doc_id", "n_tokens", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score"), "n_windows", (F.col("held") + F.coalesce("recalled", F.lit(0).cast("bigint"))).alias("n_recalled"))
     return out.withColumn("mean", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")))
 
 

@@ -128,3 +128,35 @@ def test_keys_are_sparks(spark):
     words = ["a", "the", "été", "漢字", "x" * 100]
     got = {r["w"]: r["k"] for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "xxhash64(w) as k").collect()}
     assert all(got[w] % (1 << 64) == pseudo.key_of(w) for w in words)
+
+
+def test_every_window_is_remembered(documents):
+    texts = [*_texts(7), *_texts(7)[:3]]
+    docs = documents(texts)
+    holders = Counter()
+    windows = lambda t: {(["", *w, ""][i], w[i], ["", *w, ""][i + 2]) for w in [pseudo.words_of(t)] for i in range(len(w))}
+    for t in texts:
+        holders.update(windows(t))
+    for r in pseudo.score(docs, pseudo.train(docs)).collect():
+        w = pseudo.words_of(texts[r["doc_id"]])
+        padded = ["", *w, ""]
+        assert r["n_windows"] == len(w)
+        assert r["n_recalled"] == sum(holders[padded[i], w[i], padded[i + 2]] > 1 for i in range(len(w)))
+
+
+@pytest.mark.parametrize("sample", [40, 400])
+@pytest.mark.parametrize("whole", [True, False])
+def test_all_windows_fit_the_network_and_hot_ones_count(documents, monkeypatch, sample, whole):
+    """Rounds beyond the start, several buckets, and a line that everyone has: of known words and of rare ones."""
+    for name, value in (("KNOWN", 30), ("OWN", 12), ("SAMPLE", sample), ("HOT", 60), ("BUCKET", 100)):
+        monkeypatch.setattr(pseudo, name, value)
+    corpus = [f"{t} {line}" for line in ("one line that they all have", "x") for t in _texts(8)] + [None, ""]
+    docs = documents(corpus).repartition(5, "doc_id").sortWithinPartitions("doc_id")
+    model = pseudo.train(docs)
+    assert model["fitted"] == model["total"] == sum(len(pseudo.words_of(t)) for t in corpus)
+    assert len(model["hot"][0]) > 1 and len(model["hot"][2]) > 1
+    got = {r["doc_id"]: r for r in pseudo.score(docs if whole else documents(corpus), model).collect()}
+    for i in (*range(0, 80, 7), 80, 81):
+        want = _expected(model, corpus, corpus[i], True)
+        assert (got[i]["n_windows"], got[i]["n_recalled"]) == want[1:]
+        assert np.isclose(got[i]["score"], want[0], rtol=1e-4, atol=1e-3)
