@@ -87,6 +87,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    ease(spark)
     atexit.register(_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _written[out] = path
@@ -128,6 +129,18 @@ def give_back() -> None:
         trim(0)
 
 
+def ease(spark: SparkSession) -> None:
+    """Have the driver, its Python and its JVM, return memory that it doesn't use.
+
+    The JVM's heap grows by the garbage of many small jobs and keeps what it took; a full collection shrinks it.
+    One is made only when the heap has taken more than half of what it may.
+    """
+    give_back()
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if 2 * runtime.totalMemory() > runtime.maxMemory():
+        spark._jvm.System.gc()
+
+
 def row_batches(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `most` bytes, so that long texts don't pile up in a worker."""
     for batch in batches:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, row_batches, table, worker_state, written
+from .common import discard, ease, row_batches, table, worker_state, written
 
 WORD = re.compile(r"\w+")
 BLOCK = 64  # words that are scanned one after another; blocks side by side
@@ -350,6 +350,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     discard(counts)
     good = {r["word"]: r["n"] for r in _count(rows.where("toxic = 0"), set(bad)).collect()}
     lexicon = {w for w, n in bad.items() if telling(n, good.get(w, 0), toxic, clean, distinct)}
+    del bad, good
+    ease(docs.sparkSession)
     picked = [r["doc_id"] for x in (1, 0) for r in ids.where(F.col("toxic") == x).distinct().orderBy(rank, "doc_id").limit(SAMPLE_DOCS).collect()]
     chosen = docs.sparkSession.createDataFrame([(x,) for x in picked], docs.select("doc_id").schema)
     sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "toxic")
@@ -357,6 +359,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     each = min(40, max(4, WINDOWS // sum(sizes)))
     found = [r["words"] for r in sample.mapInArrow(_windows(lexicon, each), "words array<string>").collect()]
     field = fit([(words, [int(w in lexicon) for w in words]) for words in sorted(found) if words])
+    del found
+    ease(docs.sparkSession)  # fitting has left the most
     raw = sorted((r["toxic"], r["x"]) for r in _evidence(sample, field).collect())
     y, x = np.array([float(t) for t, _ in raw]), np.array([v for _, v in raw])
     weight = np.where(y > 0, toxic / max(1, y.sum()), clean / max(1, (1 - y).sum()))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import bpe, leaks, neardup, repeats, toxicity
-from brindle.llm.common import small_batches, table, written
+from brindle.llm.common import ease, small_batches, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,11 +23,17 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _in_small_batches(stage: Stage) -> Stage:
-    """The same stage in a session that hands texts to Python in small batches, when the result is written too."""
+    """The same stage in a session that hands texts to Python in small batches, when the result is written too.
+
+    The driver returns what it doesn't use before and after, so that what a stage left doesn't add to the next one's.
+    """
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         small_batches(spark)
-        return stage(spark, docs, sf_dir)
+        ease(spark)
+        out = stage(spark, docs, sf_dir)
+        ease(spark)
+        return out
 
     return run
 
