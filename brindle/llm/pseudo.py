@@ -132,9 +132,13 @@ class Tokens:
             self.ends[end] = bisect_right(self.bounds, end[::-1])
         return self.ends[end]
 
-    def read(self, words: list[str]) -> np.ndarray:
-        """A column for each word: its input, class, slot, known count (-1: unknown) and key."""
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+    def places(self, words: list[str]) -> np.ndarray:
+        """Words' places in the vocabulary, -1 for others."""
+        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+
+    def read(self, words: list[str], at: np.ndarray | None = None) -> np.ndarray:
+        """A column for each word: its input, class, slot, known count (-1: unknown) and key; `at` are their places, if known."""
+        at = self.places(words) if at is None else at
         new = np.flatnonzero(at < 0)
         out = self.columns[:, at] if len(self.index) else np.empty((5, len(words)), np.int64)
         rare = [words[k] for k in new.tolist()]
@@ -553,6 +557,22 @@ def _totals(*keys: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
     return out
 
 
+def _nested_totals(keys: tuple[np.ndarray, ...], weights: list[np.ndarray]) -> list[np.ndarray]:
+    """As `_totals` by the last key, by the last two and so on, one for each of `weights`, from one order by all keys."""
+    order, out = np.lexsort(keys), []
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k, w in zip(reversed(keys), weights, strict=True):
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+        first = np.flatnonzero(new)
+        n = np.add.reduceat(w[order].astype(np.int64), first) if len(order) else first
+        total = np.empty(len(order), np.int64)
+        total[order] = np.repeat(n, np.diff(np.append(first, len(order))))
+        out.append(total)
+    return out
+
+
 _PACKS = "bucket int, kind tinyint, counts boolean, first bigint, n bigint, rare bigint, data binary"
 _PACK_NAMES = [x.split()[0] for x in _PACKS.split(", ")]
 
@@ -575,8 +595,9 @@ def _score(shared, memory: int, leave_out: bool, buckets: int, asks: bool, count
             ids = b.column(0).to_numpy()
             words, at, sizes = read_words(b.column(1))
             doc = np.repeat(np.arange(len(sizes)), sizes)
-            code = np.fromiter(map(tokens.index.get, words, repeat(RARE)), np.uint32, len(words))[at]
-            number, kind, slot, known, key = tokens.read(words)[:, at]
+            places = tokens.places(words)
+            code = np.where(places < 0, RARE, places).astype(np.uint32)[at]
+            number, kind, slot, known, key = tokens.read(words, places)[:, at]
             key = key.view(U)
             window, kept = _memory(key, sizes, memory)
             mine = window % U(passes) == which
@@ -677,10 +698,11 @@ def _settled(leave_out: bool):
         """What all tokens of a bucket add."""
         x = {k: np.concatenate([p[k] for p in packs]) for k in packs[0]}
         group, row, own, key, asks = x["group"], x["row"], x["own"], x["word"], x["asks"]
-        around = x["around"] if kind == PLACED else _totals(group, weights=x["counts"])
-        again = _totals(key, group, weights=x["counts"])
+        keys, weights = ((row, key, group), [x["counts"], x["counts"], asks]) if leave_out else ((key, group), [x["counts"]] * 2)
+        around, again, *its = _nested_totals(keys, weights)
+        around = x["around"] if kind == PLACED else around
         if leave_out:  # rows that don't ask are numbered by themselves
-            again = again - _totals(row, key, group, weights=asks)
+            again = again - its[0]
             around = around if kind == PLACED else around - _totals(row, group, weights=asks)
         new = np.flatnonzero(asks & (around > 0))
         again, around, part, row, rare = again[new], around[new], x["part"][new].astype(float), row[new], x["rare"][new]

@@ -160,3 +160,15 @@ def test_all_windows_fit_the_network_and_hot_ones_count(documents, monkeypatch,
         want = _expected(model, corpus, corpus[i], True)
         assert (got[i]["n_windows"], got[i]["n_recalled"]) == want[1:]
         assert np.isclose(got[i]["score"], want[0], rtol=1e-4, atol=1e-3)
+
+
+def test_totals_of_nested_keys_come_from_one_order(monkeypatch):
+    rng = np.random.default_rng(4)
+    keys = tuple(rng.integers(0, n, 500) for n in (3, 5, 7))
+    weights = [rng.random(500) < share for share in (0.5, 0.9, 0.2)]
+    want = [pseudo._totals(*keys[2 - k :], weights=w) for k, w in enumerate(weights)]
+    sorts, real = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda *a: sorts.append(1) or real(*a))
+    got = pseudo._nested_totals(keys, weights)
+    assert len(sorts) == 1 and all((x == y).all() for x, y in zip(got, want, strict=True))
+    assert all(len(x) == 0 for x in pseudo._nested_totals(tuple(k[:0] for k in keys), [w[:0] for w in weights]))
