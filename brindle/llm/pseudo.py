@@ -12,9 +12,11 @@ on from the same weights over its own rows, and the results are averaged by thei
 What the corpus itself says grows with it and is kept in tables, not in the network: the count of every distinct
 word, and, for every window (left, right), the counts of all words that stand in it (`MEMORY` 1; a larger one would
 keep the windows whose hash it divides).  There the network's probability p of a word c becomes
-(count(left, c, right) + p) / (count(left, ., right) + 1).  Windows are counted and looked up in the same shuffle: packed
-tokens go to buckets by window, and those of `HOT` windows, whose counts are known by then, by window and word.
-Each of `PASSES` passes over the texts does this for its share of all windows, so that disks hold one share at a time.
+(count(left, c, right) + p) / (count(left, ., right) + 1).  The rounds also write every
+document's tokens as codes, which the passes below read instead of the texts (without rounds they read the texts).
+Windows are counted and looked up in the same shuffle: packed tokens go to buckets by window,
+and those of `HOT` windows, whose counts are known by then, by window and word.
+Each of `PASSES` passes over the tokens does this for its share of all windows, so that disks hold one share at a time.
 The weights depend, slightly, on how the table is dealt over tasks.
 A document's own tokens are left out of all these counts, so that text which stands nowhere else scores as unseen and
 text that repeats elsewhere scores high.
@@ -31,9 +33,9 @@ import gc
 import uuid
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import pairwise, repeat
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +66,7 @@ U = np.uint64
 MIX = (U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
 
 
-def read_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def read_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The different words of texts, which of them stands at each place of all texts in a row, and texts' numbers of words."""
     lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
     flat = lists.flatten()
@@ -72,12 +74,17 @@ def read_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     sizes = np.diff(np.append(0, np.cumsum(there))[ends])
     coded = flat.filter(pa.array(there)).dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), sizes
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), sizes
+
+
+def listed(words: pa.Array) -> list[str]:
+    """As `to_pylist`, without an Arrow scalar for each word."""
+    return words.to_numpy(zero_copy_only=False).tolist()
 
 
 def words_of(text: str | None) -> list[str]:
     words, at, _ = read_words(pa.array([text], pa.string()))
-    return [words[k] for k in at]
+    return listed(words.take(pa.array(at)))
 
 
 def key_of(word: str) -> int:
@@ -107,7 +114,7 @@ class Tokens:
         self.own, self.edge, self.rest = own, own + CLASSES, share  # `rest` is the slot of a class's other words
         self.bounds = [vocabulary[ordered[k]][0][: -ENDING - 1 : -1] for k in range(share, own, share)]
         self.ends: dict[str, int] = {}
-        self.index = {w: i for i, (w, _) in enumerate(vocabulary)}
+        self.words = pa.array([w for w, _ in vocabulary], pa.string())
         kind = np.array([self.class_of(w) for w, _ in vocabulary], np.int64)
         slot = np.full(len(vocabulary), share, np.int64)
         number = own + kind
@@ -132,19 +139,22 @@ class Tokens:
             self.ends[end] = bisect_right(self.bounds, end[::-1])
         return self.ends[end]
 
-    def places(self, words: list[str]) -> np.ndarray:
+    def places(self, words: pa.Array) -> np.ndarray:
         """Words' places in the vocabulary, -1 for others."""
-        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
 
-    def read(self, words: list[str], at: np.ndarray | None = None) -> np.ndarray:
+    def read(self, words: pa.Array | list[str], at: np.ndarray | None = None) -> np.ndarray:
         """A column for each word: its input, class, slot, known count (-1: unknown) and key; `at` are their places, if known."""
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.string())
         at = self.places(words) if at is None else at
+        rare = listed(words.filter(pa.array(at < 0)))
+        return self.columns_of(at, np.array([self.class_of(w) for w in rare], np.int64), np.array([key_of(w) for w in rare], U))
+
+    def columns_of(self, at: np.ndarray, kind: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The same of places in the vocabulary, and of the classes and keys of the words that are not in it, in their order."""
         new = np.flatnonzero(at < 0)
-        out = self.columns[:, at] if len(self.index) else np.empty((5, len(words)), np.int64)
-        rare = [words[k] for k in new.tolist()]
-        kind = np.array([self.class_of(w) for w in rare], np.int64)
-        out[0, new], out[1, new], out[2, new], out[3, new] = self.own + kind, kind, self.rest, -1
-        out[4, new] = np.array([key_of(w) for w in rare], U).view(np.int64)
+        out = self.columns.take(at, 1, mode="wrap") if len(self.words) else np.empty((5, len(at)), np.int64)
+        out[0, new], out[1, new], out[2, new], out[3, new], out[4, new] = self.own + kind, kind, self.rest, -1, key.view(np.int64)
         return out
 
 
@@ -178,101 +188,135 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _gather(memory: int):
     """(word, n): counts of a task; (window, n): windows that a batch holds often."""
 
-    def rows_of(words: list, windows: np.ndarray, n: list) -> pa.RecordBatch:
-        none = pa.nulls(len(words), pa.int64()), pa.nulls(len(windows), pa.string())
-        columns = pa.concat_arrays([pa.array(words, pa.string()), none[1]]), pa.concat_arrays([none[0], pa.array(windows.view(np.int64))])
-        return pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], ["word", "window", "n"])
+    def folded(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sums = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return pa.RecordBatch.from_arrays([sums[k].combine_chunks() for k in ("word", "n_sum")], ["word", "n"])
+
+    def words_of(held: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([held["word"], pa.nulls(len(held), pa.int64()), held["n"]], ["word", "window", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("pseudo-gather")
-        tally: Counter[str] = Counter()
+        held, many = [], 0
         for b in row_batches(batches):
             words, at, sizes = read_words(b.column(0))
-            tally.update(dict(zip(words, np.bincount(at, minlength=len(words)).tolist(), strict=True)))
-            if len(tally) > CACHED_WORDS:
-                yield rows_of([*tally], np.empty(0, U), [*tally.values()])
-                tally.clear()
-            key = np.array([key_of(w) for w in words], U)[at]
-            window, kept = _memory(key, sizes, memory)
-            found, n = np.unique(window[kept], return_counts=True)
+            times = np.bincount(at, minlength=len(words))
+            held.append(pa.RecordBatch.from_arrays([words, pa.array(times)], ["word", "n"]))
+            many += len(words)
+            if many > 2 * CACHED_WORDS:
+                held = [folded(held)]
+                many = len(held[0])
+                if many > CACHED_WORDS:
+                    yield words_of(held[0])
+                    held, many = [], 0
+            # a window is as often only between words that are, or a text's ends
+            fit = times * HOT >= len(at)
+            key = np.zeros(len(words), U)
+            key[fit] = np.array([key_of(w) for w in listed(words.filter(pa.array(fit)))], U)
+            window, kept = _memory(key[at], sizes, memory)
+            beside = _sides(fit[at], sizes, True)
+            found, n = np.unique(window[kept[(beside[SIDE - 1] & beside[SIDE])[kept]]], return_counts=True)
             often = n * HOT >= len(at)
-            yield rows_of([], found[often], n[often].tolist())
-        yield rows_of([*tally], np.empty(0, U), [*tally.values()])
+            columns = pa.nulls(often.sum(), pa.string()), pa.array(found[often].view(np.int64)), pa.array(n[often])
+            yield pa.RecordBatch.from_arrays([*columns], ["word", "window", "n"])
+        if held:
+            yield words_of(folded(held))
 
     return run
 
 
+def _tokens(shared) -> Tokens:
+    """The broadcast vocabulary's, made once in a worker."""
+    name, *vocabulary = shared.value
+    return worker_state(("pseudo-tokens", name), lambda: Tokens(*vocabulary))
+
+
 def _masses(shared):
     """The smoothed counts of each class's other words, summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, mass = Tokens(*shared.value), np.zeros(CLASSES)
+        tokens, mass = _tokens(shared), np.zeros(CLASSES)
         for b in batches:
-            rest = [(tokens.class_of(w), n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if tokens.index.get(w, tokens.own) >= tokens.own]
-            if rest:
-                kinds, n = np.array(rest).T
-                mass += np.bincount(kinds, n + LEAST, CLASSES)
+            at = tokens.places(b.column(0))
+            rest = (at < 0) | (at >= tokens.own)
+            kinds = np.array([tokens.class_of(w) for w in listed(b.column(0).filter(pa.array(rest)))], np.int64)
+            mass += np.bincount(kinds, b.column(1).to_numpy()[rest] + LEAST, CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(mass)], ["class", "mass"])
 
     return run
 
 
-def _rows_of(tokens: Tokens, words: list[str], at: np.ndarray, sizes: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every token's inputs on both sides, class and slot; which of them the start takes, one in `keep`; and keys."""
-    number, kind, slot, _, key = tokens.read(words)[:, at]
+def _rows_of(tokens: Tokens, columns: np.ndarray, sizes: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every token's inputs on both sides, class and slot, from its columns; and which of them the start takes, one in `keep`."""
+    number, kind, slot = columns[:3].astype("<i4")
     sides = _sides(number, sizes, tokens.edge)
-    place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    start = mixed(place.astype(U) + mixed(key.view(U))) % U(keep) == 0
-    return np.stack([*sides, kind, slot], 1).astype("<i4"), start, key.view(U)
+    place = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    start = mixed(place.astype(U) + mixed(columns[4].view(U))) % U(keep) == 0
+    return np.stack([*sides, kind, slot], 1), start
 
 
 def _windows(shared, keep: int):
     """Windows of tokens for the start; one in `keep` of a text, by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(*shared.value)
+        tokens = _tokens(shared)
         for b in row_batches(batches):
-            rows, start, _ = _rows_of(tokens, *read_words(b.column(0)), keep)
+            words, at, sizes = read_words(b.column(0))
+            rows, start = _rows_of(tokens, tokens.read(words)[:, at], sizes, keep)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in rows[start]], pa.binary())], ["window"])
 
     return run
 
 
-def _learn(shared, state, keep: int, first: bool, memory: int):
-    """Slices of a task's weights after all its windows, and the counts of words in hot windows.
+def _learn(shared, state, keep: int, number_of: int, memory: int):
+    """Slices of a task's weights after all its windows, the counts of words in hot windows, and its documents' tokens.
 
-    In the first round the start has had one in `keep` windows of each text already.
+    In round 0 the start has had one in `keep` windows of each text already.  Tokens are written as codes, with the keys
+    and classes of words that are not in the vocabulary, so that nothing later reads the texts again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_state("pseudo-learn")
-        tokens, (flat, learner, step, hot) = Tokens(*shared.value), state.value
+        tokens, (flat, learner, step, hot) = _tokens(shared), state.value
         learner, seen, task = learner.placed(flat, step), 0, TaskContext.get().partitionId()
-        rng = np.random.default_rng(task)
+        rng, ids_type, first = np.random.default_rng(task), pa.null(), (number_of << 50) + (task << 33)
+
+        def rows_of(n: int, /, **columns: pa.Array) -> pa.RecordBatch:
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.list_(ids_type)]
+            return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(n, t)) for k, t in zip(_LEARNT_NAMES, types, strict=True)], _LEARNT_NAMES)
+
         for b in row_batches(batches, 2 << 20):
+            ids_type = b.column(1).type
             words, at, sizes = read_words(b.column(0))
-            rows, start, key = _rows_of(tokens, words, at, sizes, keep)
+            places = tokens.places(words)
+            columns = tokens.read(words, places).take(at, 1)
+            rows, start = _rows_of(tokens, columns, sizes, keep)
+            key = columns[4].view(U)
+            code = np.where(places < 0, RARE, places).astype(np.uint32)[at]
+            rare = np.flatnonzero(code == RARE)
+            data = _packed([sizes.astype(np.uint32), code, key[rare], columns[1, rare].astype(np.uint8)])
+            numbers = {"n": len(at), "first": first, "rare": len(rare)}
+            ids = pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.concat_arrays([b.column(1)]))
+            yield rows_of(1, **{k: pa.array([x]) for k, x in numbers.items()}, data=pa.array([data], pa.binary()), ids=ids)
+            first += len(sizes)
             if len(hot):
                 window, kept = _memory(key, sizes, memory)
                 kept = kept[np.isin(window[kept], hot)]
                 order, runs, n = _runs(key[kept], window[kept])
                 one = kept[order[runs]]
-                none = pa.nulls(len(n), pa.int32())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(n), pa.nulls(len(n), pa.binary()), pa.array(window[one].view(np.int64)), pa.array(key[one].view(np.int64))], _LEARNT_NAMES)
-            rows = rows[~start] if first else rows
-            rows = rows[rng.permutation(len(rows))]
+                yield rows_of(len(n), n=pa.array(n), window=pa.array(window[one].view(np.int64)), key=pa.array(key[one].view(np.int64)))
+            rows = rows if number_of else rows[~start]
+            rows = rows.take(rng.permutation(len(rows)), 0)
             seen += len(rows)
             for part in np.array_split(rows, -(-len(rows) // LARGE_BATCH)) if len(rows) else ():
                 learner.learn(part, RATE)
         if seen:
             cuts = [x.tobytes() for x in np.array_split(learner.flat(), SLICES)]
-            none = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([task] * SLICES, pa.int32()), pa.array([seen] * SLICES, pa.int64()), pa.array(cuts, pa.binary()), none, none], _LEARNT_NAMES)
+            yield rows_of(SLICES, slice=pa.array(range(SLICES), pa.int32()), task=pa.array([task] * SLICES, pa.int32()), n=pa.array([seen] * SLICES), data=pa.array(cuts, pa.binary()))
 
     return run
 
 
-_LEARNT = "slice int, task int, n bigint, data binary, window bigint, key bigint"
+_LEARNT = "slice int, task int, n bigint, data binary, window bigint, key bigint, first bigint, rare bigint, ids array<{}>"
 _LEARNT_NAMES = [x.split()[0] for x in _LEARNT.split(", ")]
 
 
@@ -294,68 +338,109 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def _missed(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, n: float) -> np.ndarray:
-    """Each row's softmax less the one that was to be found, over `n`."""
-    z = h @ weights
-    z += bias - (np.abs(weights).sum(0) + bias).max()  # at or below 0, as no hidden value lies outside -1 to 1
+def _missed(z: np.ndarray, at: np.ndarray, again: Callable[[np.ndarray], np.ndarray]) -> None:
+    """Puts each row's softmax less the one that was to be found, over the number of rows, in the place of `z`.
+
+    All of `z` is at or below 0; `again` gives rows of it anew, for those that lie too far below.
+    """
+    one = z.dtype.type
     np.exp(z, out=z)
     total = z @ np.ones(z.shape[1], z.dtype)
-    if not (total > 1e-25).all():  # the bound is too far above these rows
-        z = softmax(h @ weights + bias)
-        total = np.ones(len(z), z.dtype)
-    total *= n
-    z /= total[:, None]
-    z[np.arange(len(z)), at] -= 1 / n
-    return z
+    far = np.flatnonzero(~(total > 1e-25))
+    if len(far):
+        z[far], total[far] = softmax(again(far)), 1
+    np.divide(one(1 / len(z)), total, out=total)
+    z *= total[:, None]
+    z[np.arange(len(z)), at] -= one(1 / len(z))
+
+
+def _product(a: np.ndarray, b: np.ndarray, step: int = 512) -> np.ndarray:
+    """a.T @ b, over so many rows at a time, as they stay in the cache."""
+    return sum((a[lo : lo + step].T @ b[lo : lo + step] for lo in range(step, len(a), step)), a[:step].T @ b[:step])
 
 
 class Learner:
-    """A network's weights on their way, by Adam."""
+    """A network's weights on their way, by Adam; the weights and their two moments are views of one array."""
+
+    def __init__(self, p: dict[str, np.ndarray], step: int = 0):
+        self.numbers = np.zeros((3, sum(x.size for x in p.values())), np.float32)
+        self.p, self.step = self._views(p, self.numbers[0]), step
+        for k, x in p.items():
+            self.p[k][...] = x
 
-    def __init__(self, p: dict[str, np.ndarray], m: dict[str, np.ndarray] | None = None, v: dict[str, np.ndarray] | None = None, step: int = 0):
-        zero = lambda: {k: np.zeros_like(x) for k, x in p.items()}
-        self.p, self.m, self.v, self.step = p, m or zero(), v or zero(), step
+    @staticmethod
+    def _views(like: dict[str, np.ndarray], flat: np.ndarray) -> dict[str, np.ndarray]:
+        parts = np.split(flat, np.cumsum([x.size for x in like.values()])[:-1])
+        return {k: part.reshape(x.shape) for (k, x), part in zip(like.items(), parts, strict=True)}
 
     def learn(self, rows: np.ndarray, rate: float) -> None:
         """A step along the gradient of a minibatch."""
         p, sides, one = self.p, 2 * SIDE, np.float32
-        rows = rows[np.argsort(rows[:, sides].astype(np.int16), kind="stable")]
-        n = one(len(rows))
-        inputs = rows[:, :sides].ravel()
-        x = p["e"].take(inputs, 0).reshape(len(rows), -1)
-        h = x @ p["w"]
-        h += p["b"]
-        np.tanh(h, out=h)
-        ones = np.ones(len(rows), one)
-        miss = _missed(h, p["c"], p["c0"], rows[:, sides], n)
-        g = {"c": h.T @ miss, "c0": ones @ miss, "d": np.zeros_like(p["d"]), "d0": np.zeros_like(p["d0"])}
+        rows = rows.take(np.argsort(rows[:, sides].astype(np.int16), kind="stable"), 0)
+        n, kinds = len(rows), rows[:, sides]
+        inputs = np.ascontiguousarray(rows[:, :sides].T, np.intp)
+        x = np.empty((n, sides, EMBEDDING), one)
+        for k, at in enumerate(inputs):
+            x[:, k] = p["e"].take(at, 0)
+        x = x.reshape(n, -1)
+        h = np.empty((n, HIDDEN + 1), one)  # with a last column of ones, for biases
+        inner = x @ p["w"]
+        inner += p["b"]
+        np.tanh(inner, out=inner)
+        h[:, :HIDDEN], h[:, HIDDEN] = inner, 1
+        # biases keep all sums at or below 0, as no hidden value lies outside -1 to 1
+        c = np.vstack([p["c"], p["c0"] - (np.abs(p["c"]).sum(0) + p["c0"]).max()])
+        d = np.concatenate([p["d"], (p["d0"] - (np.abs(p["d"]).sum(2) + p["d0"]).max(1, keepdims=True))[..., None]], 2)
+        miss = h @ c
+        _missed(miss, kinds, lambda far: h[far] @ c)
+        ends = np.searchsorted(kinds, np.arange(CLASSES + 1)).tolist()
+        cuts = [(k, slice(*cut)) for k, cut in enumerate(pairwise(ends)) if cut[0] < cut[1]]
+        within = np.empty((n, d.shape[1]), one)
+        for k, cut in cuts:
+            np.matmul(h[cut], d[k].T, out=within[cut])
+        _missed(within, rows[:, sides + 1], lambda far: np.einsum("ij,ikj->ik", h[far], d[kinds[far]]))
+        slope = np.zeros(self.numbers.shape[1], one)
+        g = self._views(p, slope)
+        part = _product(h, miss)
+        g["c"][...], g["c0"][...] = part[:HIDDEN], part[HIDDEN]
         back = miss @ p["c"].T
-        found, first = np.unique(rows[:, sides], return_index=True)
-        for k, lo, hi in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(rows)], strict=True):
-            cut = h[lo:hi]
-            part = _missed(cut, p["d"][k].T, p["d0"][k], rows[lo:hi, sides + 1], n)
-            g["d"][k], g["d0"][k] = part.T @ cut, ones[lo:hi] @ part
-            back[lo:hi] += part @ p["d"][k]
-        h *= h
-        back *= 1 - h
-        g["w"], g["b"] = x.T @ back, ones @ back
-        back = (back @ p["w"].T).reshape(-1, EMBEDDING)
-        g["e"] = np.stack([np.bincount(inputs, x, len(p["e"])) for x in back.T], 1).astype(one)
+        part = np.zeros_like(d)
+        for k, cut in cuts:
+            np.matmul(within[cut].T, h[cut], out=part[k])
+            back[cut] += within[cut] @ p["d"][k]
+        g["d"][...], g["d0"][...] = part[..., :HIDDEN], part[..., HIDDEN]
+        inner *= inner
+        np.subtract(1, inner, out=inner)
+        back *= inner
+        g["w"][...] = _product(back, x).T
+        np.matmul(np.ones(n, one), back, out=g["b"])
+        back, inputs = (p["w"] @ back.T).reshape(sides, EMBEDDING, n), inputs.ravel()
+        for k in range(EMBEDDING):
+            g["e"][:, k] = np.bincount(inputs, back[:, k].ravel(), len(p["e"]))
         self.step += 1
-        m, v, rate = self.m, self.v, one(rate)
-        for k, x in g.items():
-            m[k] += one(0.1) * (x - m[k])
-            v[k] += one(0.01) * (x * x - v[k])
-            p[k] -= rate * (m[k] / one(1 - 0.9**self.step)) / (np.sqrt(v[k] / one(1 - 0.99**self.step)) + one(1e-8))
+        weights, m, v = self.numbers
+        more = slope - m
+        more *= one(0.1)
+        m += more
+        slope *= slope
+        slope -= v
+        slope *= one(0.01)
+        v += slope
+        np.multiply(v, one(1 / (1 - 0.99**self.step)), out=more)
+        np.sqrt(more, out=more)
+        more += one(1e-8)
+        np.divide(m, more, out=more)
+        more *= one(rate / (1 - 0.9**self.step))
+        weights -= more
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for part in (self.p, self.m, self.v) for x in part.values()])
+        return self.numbers.ravel()
 
     def placed(self, flat: np.ndarray, step: int) -> Learner:
         """The same kind of learner with other numbers."""
-        ends = np.cumsum([x.size for part in (self.p, self.m, self.v) for x in part.values()])[:-1]
-        cut = iter(np.split(flat.astype(np.float32), ends))
-        return Learner(*({k: next(cut).reshape(x.shape).copy() for k, x in part.items()} for part in (self.p, self.m, self.v)), step)
+        out = Learner(self.p, step)
+        out.numbers[...] = flat.reshape(3, -1)
+        return out
 
 
 def fit(windows: np.ndarray, inputs: int, outputs: np.ndarray, seed: int = 3) -> Learner:
@@ -388,13 +473,6 @@ def fit(windows: np.ndarray, inputs: int, outputs: np.ndarray, seed: int = 3) ->
     return learner
 
 
-def _by_class(kinds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each class that occurs, with its places."""
-    order = np.argsort(kinds.astype(np.int16), kind="stable")
-    found, first = np.unique(kinds[order], return_index=True)
-    yield from zip(found.tolist(), np.split(order, first[1:]), strict=True)
-
-
 class Network:
     """log P(class, slot | window) for many tokens at a time."""
 
@@ -405,19 +483,20 @@ class Network:
         self.kinds = _bounded(p["c"].T, p["c0"])
         self.slots = [_bounded(d, d0) for d, d0 in zip(p["d"], p["d0"], strict=True)]
 
-    def logs(self, sides: list[np.ndarray], kinds: np.ndarray, slots: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    def logs(self, sides: list[np.ndarray], kinds: np.ndarray, slots: np.ndarray, step: int = 1 << 13) -> np.ndarray:
         out = np.empty(len(kinds))
+        order = np.argsort(kinds.astype(np.int16), kind="stable")
         for lo in range(0, len(kinds), step):
-            cut = slice(lo, lo + step)
-            h = self.side[0][sides[0][cut]]
+            at = order[lo : lo + step]
+            h = self.side[0].take(sides[0][at], 0)
             for t, x in zip(self.side[1:], sides[1:], strict=True):
-                h += t[x[cut]]
+                h += t.take(x[at], 0)
             np.tanh(h, out=h)
-            kind, slot = kinds[cut], slots[cut]
+            kind, slot = kinds[at], slots[at]
             part = _picked(h, *self.kinds, kind)
-            for k, at in _by_class(kind):
-                part[at] += _picked(h[at], *self.slots[k], slot[at])
-            out[cut] = part
+            for a, b in pairwise([0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(kind)]):
+                part[a:b] += _picked(h[a:b], *self.slots[kind[a]], slot[a:b])
+            out[at] = part
         return out
 
 
@@ -465,8 +544,9 @@ def _frequent(words: DataFrame, most: int) -> int:
 def train(docs: DataFrame) -> dict:
     """The network, counts of all words, masses of classes and counts of hot windows, from all rows."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    found = written(texts.mapInArrow(_gather(MEMORY), "word string, window bigint, n bigint"), "found")
+    ids = docs.schema["doc_id"].dataType.simpleString() if "doc_id" in docs.columns else "int"
+    texts = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("int").alias("doc_id"))
+    found = written(texts.select("text").mapInArrow(_gather(MEMORY), "word string, window bigint, n bigint"), "found")
     words = _written(found.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
     often = found.where("word is null").groupBy("window").agg(F.sum("n").alias("n")).where(F.col("n") * HOT >= total).collect()
@@ -476,7 +556,7 @@ def train(docs: DataFrame) -> dict:
     vocabulary = sorted(((r["word"], r["n"]) for r in known), key=lambda x: (-x[1], x[0]))
     most = _frequent(words, OWN)
     own = sum(n >= most for _, n in vocabulary)
-    shared = spark.sparkContext.broadcast((vocabulary, own))
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, vocabulary, own))
     mass = np.full(CLASSES, LEAST)
     for r in words.select("word", "n").mapInArrow(_masses(shared), "class int, mass double").groupBy("class").agg(F.sum("mass").alias("mass")).collect():
         mass[r["class"]] += r["mass"]
@@ -484,24 +564,25 @@ def train(docs: DataFrame) -> dict:
     top = 1 << 30
     end = int(min(1.0, SAMPLE * keep / max(1, total)) * top)
     place = F.pmod(F.xxhash64("text"), F.lit(top))
-    rows = sorted(bytes(r["window"]) for r in texts.where(place < F.lit(end)).mapInArrow(_windows(shared, keep), "window binary").collect())
+    rows = sorted(bytes(r["window"]) for r in texts.where(place < F.lit(end)).select("text").mapInArrow(_windows(shared, keep), "window binary").collect())
     tokens = Tokens(vocabulary, own)
     learner = fit(np.frombuffer(b"".join(rows), "<i4").reshape(-1, 2 * SIDE + 2), tokens.edge + 1, tokens.outputs())
     ends = [0, end]
     while ends[-1] < top:
         ends.append(min(top, max(ends[-1], 1) * GROWTH))
-    pairs, fitted = [], len(rows)
+    pairs, codes, fitted = [], [], len(rows)
     if total > SAMPLE:  # else the start has had all
-        for low, high in pairwise(ends):
+        for number_of, (low, high) in enumerate(pairwise(ends)):
             state = spark.sparkContext.broadcast((learner.flat(), learner.placed(np.zeros(learner.flat().size), 0), learner.step, hot))
-            learnt = written(texts.where(place.between(low, high - 1)).mapInArrow(_learn(shared, state, keep, not low, MEMORY), _LEARNT), "learnt")
-            pairs.append(learnt.where("slice is null").select("window", "key", "n"))
+            learnt = written(texts.where(place.between(low, high - 1)).mapInArrow(_learn(shared, state, keep, number_of, MEMORY), _LEARNT.format(ids)), "learnt")
+            pairs.append(learnt.where("window is not null").select("window", "key", "n"))
+            codes.append(learnt.where("ids is not null").select("first", "n", "rare", "ids", "data"))
             parts = learnt.where("slice is not null").repartition(SLICES, "slice").sortWithinPartitions("slice", "task").mapInArrow(_averaged, "slice int, n bigint, data binary").collect()
             if parts:
                 fitted += parts[0]["n"]
                 learner = learner.placed(np.concatenate([np.frombuffer(r["data"], float) for r in sorted(parts)]), max(learner.step, 1000))
             state.unpersist()
-    model = {"vocabulary": vocabulary, "own": own, "mass": mass, "memory": MEMORY, "network": learner.p, "words": words, "docs": docs, "total": total, "fitted": fitted}
+    model = {"vocabulary": vocabulary, "own": own, "mass": mass, "memory": MEMORY, "network": learner.p, "words": words, "docs": docs, "codes": reduce(DataFrame.unionAll, codes) if codes else None, "total": total, "fitted": fitted}
     return model | {"hot": _hot(pairs, hot, total)}
 
 
@@ -537,8 +618,8 @@ def _packed(columns: list[np.ndarray]) -> bytes:
     return _ZSTD.compress(planes, asbytes=True)
 
 
-def _unpacked(data: bytes, n: int, rare: int, kind: int) -> dict[str, np.ndarray]:
-    columns = [(name, type_, n) for name, type_ in _PACKED[kind]] + [(f"rare_{name}", type_, rare) for name, type_ in _RARE]
+def _unpacked(data: bytes, columns: list[tuple[str, str, int]]) -> dict[str, np.ndarray]:
+    """The columns again, by their names, types and lengths."""
     sizes = [np.dtype(t).itemsize * k for _, t, k in columns]
     planes, at, out = np.frombuffer(_ZSTD.decompress(data, sum(sizes), asbytes=True), np.uint8), 0, {}
     for (name, type_, k), size in zip(columns, sizes, strict=True):
@@ -577,7 +658,25 @@ _PACKS = "bucket int, kind tinyint, counts boolean, first bigint, n bigint, rare
 _PACK_NAMES = [x.split()[0] for x in _PACKS.split(", ")]
 
 
-def _score(shared, memory: int, leave_out: bool, buckets: int, asks: bool, counts: bool, passes: int, which: int):
+def _read_texts(tokens: Tokens, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows' numbers and sizes, and tokens' codes and columns, of slices of texts."""
+    for b in row_batches(batches, 2 << 20):
+        words, at, sizes = read_words(b.column(1))
+        places = tokens.places(words)
+        yield b.column(0).to_numpy(), sizes, np.where(places < 0, RARE, places).astype(np.uint32)[at], tokens.read(words, places).take(at, 1)
+
+
+def _read_codes(tokens: Tokens, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same of what `_learn` wrote."""
+    for b in batches:
+        for r in b.to_pylist():
+            x = _unpacked(r["data"], [("size", "<u4", r["docs"]), ("code", "<u4", r["n"]), ("key", "<u8", r["rare"]), ("class", "u1", r["rare"])])
+            at = np.where(x["code"] == RARE, -1, x["code"].astype(np.int64))
+            yield r["first"] + np.arange(r["docs"]), x["size"].astype(np.int64), x["code"], tokens.columns_of(at, x["class"].astype(np.int64), x["key"])
+    give_back()
+
+
+def _score(read: Callable, shared, memory: int, leave_out: bool, buckets: int, asks: bool, counts: bool, passes: int, which: int):
     """Packs of a task's documents, rare words and windows, which ask for counts, count themselves, or both.
 
     Only tokens whose windows belong to this pass take part, but all count as their document's own.
@@ -591,18 +690,13 @@ def _score(shared, memory: int, leave_out: bool, buckets: int, asks: bool, count
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, network, mass, (hot, hot_n, often, often_n) = worker_state(("pseudo", name), make)
-        for number_of, b in enumerate(row_batches(batches, 2 << 20)):
-            ids = b.column(0).to_numpy()
-            words, at, sizes = read_words(b.column(1))
+        for number_of, (ids, sizes, code, (number, kind, slot, known, key)) in enumerate(read(tokens, batches)):
             doc = np.repeat(np.arange(len(sizes)), sizes)
-            places = tokens.places(words)
-            code = np.where(places < 0, RARE, places).astype(np.uint32)[at]
-            number, kind, slot, known, key = tokens.read(words, places)[:, at]
             key = key.view(U)
             window, kept = _memory(key, sizes, memory)
             mine = window % U(passes) == which
             kept = kept[mine[kept]]
-            group, part, own = window[kept], np.zeros(len(at)), np.zeros(len(at), np.int64)
+            group, part, own = window[kept], np.zeros(len(code)), np.zeros(len(code), np.int64)
             place = _found(hot, group)
             in_hot = np.flatnonzero(place >= 0)
             pair = window_of(group[in_hot], key[kept[in_hot]])
@@ -729,7 +823,7 @@ def _settled(leave_out: bool):
                     if packs:
                         yield from settle(last[1], packs, sums)
                     last, packs = (r["bucket"], r["kind"]), []
-                x = _unpacked(r["data"], r["n"], r["rare"], r["kind"])
+                x = _unpacked(r["data"], [*((k, t, r["n"]) for k, t in _PACKED[r["kind"]]), *((f"rare_{k}", t, r["rare"]) for k, t in _RARE)])
                 if r["kind"] == BASE:
                     yield rows_of(0, x["row"], n=x["n"], part=x["part"], windows=x["windows"], own=x["again"])
                 elif r["kind"] == ASKED:
@@ -766,17 +860,19 @@ def score(docs: DataFrame, model: dict, leave_out: bool = True) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast({k: model[k] for k in ("vocabulary", "own", "mass", "network", "hot")})
     row, text = F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text")
-    total = model["total"]
+    total, codes = model["total"], model["codes"]
+    corpus, whole = model["docs"] if codes is None else codes, docs is model["docs"] and leave_out
     buckets = max(1, min(-(-total // BUCKET), max(BUCKETS, -(-total // (8 * BUCKET)))))
 
     def packs(of: DataFrame, asks: bool, counts: bool, which: int) -> DataFrame:
-        run = _score(shared, model["memory"], leave_out, buckets, asks, counts, PASSES, which)
-        return of.select(row, text, *["doc_id"] * asks).mapInArrow(run, _PACKS).withColumn("asks", F.lit(asks))
+        from_codes = of is codes
+        run = _score(_read_codes if from_codes else _read_texts, shared, model["memory"], leave_out, buckets, asks, counts, PASSES, which)
+        rows = of.select("first", "n", "rare", F.size("ids").alias("docs"), "data") if from_codes else of.select(row, text, *["doc_id"] * asks)
+        return rows.mapInArrow(run, _PACKS).withColumn("asks", F.lit(asks))
 
     def settled(which: int) -> DataFrame:
         # in the corpus itself each token asks and counts
-        whole = docs is model["docs"] and leave_out
-        dealt = packs(docs, True, True, which) if whole else packs(docs, True, False, which).unionAll(packs(model["docs"], False, True, which))
+        dealt = packs(corpus, True, True, which) if whole else packs(docs, True, False, which).unionAll(packs(corpus, False, True, which))
         dealt = dealt.repartition(-(-buckets // TASK), "bucket").sortWithinPartitions("kind", "bucket", "first")
         return _written(dealt.mapInArrow(_settled(leave_out), _LOOKED_UP), "looked-up")
 
@@ -792,8 +888,11 @@ def score(docs: DataFrame, model: dict, leave_out: bool = True) -> DataFrame:
     rare = rare.select("row", F.when(F.col("kind") == 1, F.col("n") * F.col("share")).otherwise(seen).alias("part"), (F.col("kind") == 3).cast("bigint").alias("recalled"))
     sums = rare.unionAll(looked.where("kind = 2").select("row", "part", "n")).groupBy("row").agg(F.sum("part").alias("more"), F.sum("recalled").alias("recalled"))
     base = looked.where("kind = 0").groupBy("row").agg(F.sum("n").alias("n_tokens"), F.sum("part").alias("part"), F.sum("windows").alias("n_windows"), F.sum("own").alias("held"))
-    # read with their texts too, as the passes do: a plan of fewer columns could deal, and so number, the rows in another way
-    ids = docs.select(row, text, "doc_id").mapInArrow(_ids, f"row bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}")
+    # texts are read too, as the passes do: a plan of fewer columns could deal, and so number, the rows in another way
+    if whole and codes is not None:
+        ids = codes.select("first", F.posexplode("ids").alias("place", "doc_id")).select((F.col("first") + F.col("place")).alias("row"), "doc_id")
+    else:
+        ids = docs.select(row, text, "doc_id").mapInArrow(_ids, f"row bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}")
     out = ids.join(base, "row").join(sums, "row", "left")
     out = out.select("doc_id", "n_tokens", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score"), "n_windows", (F.col("held") + F.coalesce("recalled", F.lit(0).cast("bigint"))).alias("n_recalled"))
     return out.withColumn("mean", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")))

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from brindle.llm import pseudo
@@ -172,3 +173,66 @@ def test_totals_of_nested_keys_come_from_one_order(monkeypatch):
     got = pseudo._nested_totals(keys, weights)
     assert len(sorts) == 1 and all((x == y).all() for x, y in zip(got, want, strict=True))
     assert all(len(x) == 0 for x in pseudo._nested_totals(tuple(k[:0] for k in keys), [w[:0] for w in weights]))
+
+
+def test_texts_are_read_once_to_learn_and_score(documents, monkeypatch):
+    """The rounds write every document's tokens; scores from these are those from texts."""
+    for name, value in (("KNOWN", 30), ("OWN", 12), ("SAMPLE", 40), ("BUCKET", 100)):
+        monkeypatch.setattr(pseudo, name, value)
+    corpus = [*_texts(9), *_texts(9)[:3], None, "", "naïve Été\u2003x"]
+    docs = documents(corpus).repartition(3, "doc_id").sortWithinPartitions("doc_id")
+    model = pseudo.train(docs)
+    tokens = pseudo.Tokens(model["vocabulary"], model["own"])
+    keys = {}
+    for r in model["codes"].withColumn("docs", pseudo.F.size("ids")).collect():
+        ((rows, sizes, code, columns),) = pseudo._read_codes(tokens, iter([pa.RecordBatch.from_pylist([r.asDict()])]))
+        assert (rows == r["first"] + np.arange(r["docs"])).all() and ((columns[3] < 0) == (code == pseudo.RARE)).all()
+        keys |= zip(r["ids"], np.split(columns, np.cumsum(sizes)[:-1], axis=1), strict=True)
+    assert sorted(keys) == list(range(len(corpus)))
+    for i, text in enumerate(corpus):
+        assert (keys[i] == tokens.read(pseudo.words_of(text))).all()
+    columns = ["doc_id", "n_tokens", "n_windows", "n_recalled", "score"]
+    got, want = (sorted(pseudo.score(docs, m).select(columns).collect()) for m in (model, model | {"codes": None}))
+    assert len(got) == len(corpus) and [r[:4] for r in got] == [r[:4] for r in want]
+    assert np.allclose([r[4] for r in got], [r[4] for r in want])
+
+
+@pytest.mark.parametrize("far", [False, True])
+def test_a_step_goes_along_the_gradient(far):
+    """Against a softmax made row by row; with `far`, biases so large that the bound lies too far above the rows."""
+    rng = np.random.default_rng(1)
+    outputs = np.ones((pseudo.CLASSES, 5), bool)
+    learner = pseudo.fit(np.empty((0, 6), np.int32), 9, outputs)
+    learner.p["d"][...] = rng.normal(0, 1, learner.p["d"].shape)
+    if far:
+        learner.p["c"][...], learner.p["d"][...] = learner.p["c"] * 900, learner.p["d"] * 40
+    rows = np.concatenate([rng.integers(0, 9, (1300, 4)), rng.integers(0, 7, (1300, 1)), rng.integers(0, 5, (1300, 1))], 1).astype(np.int32)
+    p = {k: x.astype(float) for k, x in learner.p.items()}
+    want = {k: np.zeros_like(x) for k, x in p.items()}
+    for r in rows:
+        x = p["e"][r[:4]].ravel()
+        h = np.tanh(x @ p["w"] + p["b"])
+        a, b = (pseudo.softmax(z[None])[0] for z in (h @ p["c"] + p["c0"], p["d"][r[4]] @ h + p["d0"][r[4]]))
+        a[r[4]] -= 1
+        b[r[5]] -= 1
+        back = (p["c"] @ a + b @ p["d"][r[4]]) * (1 - h * h)
+        for k, part in (("c", np.outer(h, a)), ("c0", a), ("w", np.outer(x, back)), ("b", back)):
+            want[k] += part
+        want["d"][r[4]] += np.outer(b, h)
+        want["d0"][r[4]] += b
+        np.add.at(want["e"], r[:4], (p["w"] @ back).reshape(4, -1))
+    learner.learn(rows, 0.0)
+    for k, m in learner._views(learner.p, learner.numbers[1]).items():
+        assert np.allclose(m / 0.1, want[k] / len(rows), rtol=1e-3, atol=1e-5 * (1 + np.abs(want[k] / len(rows)).max()))
+
+
+def test_gathered_are_all_words_and_often_seen_windows():
+    texts = [f"{t} all rights reserved {t}" for t in _texts(10)] * 20 + [None, "", "a"]
+    words, windows = _tables(texts)
+    got = [r for b in pseudo._gather(1)(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])])) for r in b.to_pylist()]
+    assert {r["word"]: r["n"] for r in got if r["word"] is not None} == words
+    around = Counter()
+    for (window, _), n in windows.items():
+        around[window] += n
+    often = {w: n for w, n in around.items() if n * pseudo.HOT >= words.total()}
+    assert {r["window"] % (1 << 64): r["n"] for r in got if r["word"] is None} == often and len(often) > 20
