@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,22 +97,43 @@ class Sync:
                 continue
         raise CommitConflict("the change log is written all the time")
 
-    def _mark(self, ids: list, **columns: Column) -> int:
-        """Rewrite the records of `ids`: plain ids match in any collection, (collection, id) pairs exactly."""
-        plain = [str(i) for i in ids if not isinstance(i, tuple)]
-        hit = F.col("record_id").isin(plain) if plain else F.lit(False)
-        for i in ids:
-            if isinstance(i, tuple):
-                hit = hit | ((F.col("collection") == i[0]) & (F.col("record_id") == str(i[1])))
-        return self._replace(lambda log: log.select(*(F.when(hit, columns[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in log.columns)))
+    def _wanted(self, ids: list | DataFrame) -> list[DataFrame]:
+        """Distinct ids as frames of `record_id`, or of `collection` and `record_id`."""
+        if isinstance(ids, DataFrame):
+            return [ids.select(*(F.col(c).cast("string").alias(c) for c in ("collection", "record_id") if c in ids.columns)).distinct()]
+        plain = list(dict.fromkeys(str(i) for i in ids if not isinstance(i, tuple)))
+        pairs = list(dict.fromkeys((i[0], str(i[1])) for i in ids if isinstance(i, tuple)))
+        text, tables = pa.string(), []
+        if plain:
+            tables.append(pa.table({"record_id": pa.array(plain, text)}))
+        if pairs:
+            tables.append(pa.table({"collection": pa.array([c for c, _ in pairs], text), "record_id": pa.array([i for _, i in pairs], text)}))
+        return [self.db.spark.createDataFrame(t) for t in tables]
+
+    def _mark(self, ids: list | DataFrame, **columns: Column) -> int:
+        """Rewrite the records of `ids`: plain ids match in any collection, (collection, id) pairs exactly.
+
+        A frame of ids has `record_id`, and `collection` for pairs.  The log is joined with the ids, as there can be as
+        many of them as of records.
+        """
+        wanted = self._wanted(ids)
+
+        def marked(log: DataFrame) -> DataFrame:
+            joined, hit = log, F.lit(False)
+            for k, part in enumerate(wanted):
+                joined = joined.join(part.withColumn(f"_hit{k}", F.lit(True)), part.columns, "left")
+                hit = hit | F.col(f"_hit{k}").isNotNull()
+            return joined.select(*(F.when(hit, columns[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in log.columns))
+
+        return self._replace(marked)
 
-    def synchronizing(self, ids: list) -> int:
+    def synchronizing(self, ids: list | DataFrame) -> int:
         return self._mark(ids, phase=F.lit("synchronizing"))
 
-    def synced(self, ids: list) -> int:
+    def synced(self, ids: list | DataFrame) -> int:
         return self._mark(ids, phase=F.lit("synced"), dirty=F.lit(False))
 
-    def failed(self, ids: list, error: str) -> int:
+    def failed(self, ids: list | DataFrame, error: str) -> int:
         return self._mark(ids, phase=F.lit("failed"), retries=F.col("retries") + 1, error=F.lit(error))
 
     def is_duplicate(self, key: str) -> bool:

@@ -203,9 +203,9 @@ def q_remote_deletion(db, t):
 def q_prune_log(db, t):
     """The oldest clean records go until forty are left; what awaits synchronising never goes."""
     db.keep_changes = 1 << 40
-    suppliers = fill(db, "suppliers", SUPPLIERS, t("supplier").repartitionByRange(1, "s_suppkey").sortWithinPartitions("s_suppkey"))
+    suppliers = fill(db, "suppliers", SUPPLIERS, t("supplier"))
     sync = changes.Sync(db)
-    sync.synced([(suppliers.name, r["s_suppkey"]) for r in t("supplier").where("s_suppkey % 4 <> 0").select("s_suppkey").collect()])
+    sync.synced(t("supplier").where("s_suppkey % 4 <> 0").select(F.lit(suppliers.name).alias("collection"), F.col("s_suppkey").alias("record_id")))
     sync._replace(lambda log: log.withColumn("ord", F.col("record_id").cast("bigint")))
     sync.prune(40)
     return db.changes().select("record_id")

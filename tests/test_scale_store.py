@@ -70,6 +70,24 @@ def test_marking_keeps_what_was_committed_meanwhile(db, users, monkeypatch):
     assert {(r["record_id"], r["dirty"]) for r in db.changes().collect()} == {("a", False), ("b", True)}
 
 
+def test_marks_of_many_records(db, spark):
+    """Thousands of pairs; ids that repeat, are unknown or of another collection neither add nor change records."""
+    n = 3000
+    for name in "ab":
+        db.collection(name, "id", "id bigint").merge(spark.range(n))
+    db.collections["b"].clear()
+    db.collections["b"].merge(spark.range(5))
+    before = db.changes().count()
+    changes.Sync(db).failed([*(("a", i) for i in range(n) if i % 3 == 0), ("a", 0), ("c", 1), ("a", n), "4", 4], "net")
+    log = db.changes()
+    marked = log.where("phase = 'failed'")
+    assert log.count() == before == 2 * n + 6 and marked.where("collection = 'a'").count() == n // 3 + 1
+    assert [(r["record_id"], r["retries"]) for r in marked.where("collection = 'b'").collect()] == [("4", 1)] * 2
+    assert marked.where("retries <> 1 or error <> 'net'").count() == 0 and log.where("record_id is null").count() == 1
+    changes.Sync(db).synced([])
+    assert db.changes().where("dirty").count() == before
+
+
 def test_optimistic_transactions_conflict(db, users):
     users.put({"id": "a", "age": 1})
     slow = db.transaction(optimistic=True)
