@@ -165,11 +165,11 @@ def q_change_log(db, t):
 @stored("SELECT s_suppkey::VARCHAR AS record_id, CASE WHEN s_suppkey % 3 = 0 THEN 'failed' ELSE 'pending' END AS phase, CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS retries FROM supplier WHERE s_suppkey % 2 <> 0")
 def q_sync_states(db, t):
     suppliers = fill(db, "suppliers", SUPPLIERS, t("supplier"))
-    ids = [r["s_suppkey"] for r in t("supplier").select("s_suppkey").collect()]
+    ids = t("supplier").select(F.lit(suppliers.name).alias("collection"), F.col("s_suppkey").alias("record_id"))
     sync = changes.Sync(db)
-    sync.synchronizing(ids[:1])
-    sync.failed([(suppliers.name, i) for i in ids if i % 3 == 0], "no network")
-    sync.synced([i for i in ids if i % 2 == 0])
+    sync.synchronizing(ids.drop("collection").limit(1))
+    sync.failed(ids.where("record_id % 3 = 0"), "no network")
+    sync.synced(ids.drop("collection").where("record_id % 2 = 0"))
     return changes.locally_changed(db.changes()).select("record_id", F.when(F.col("phase") == "synchronizing", "pending").otherwise(F.col("phase")).alias("phase"), "retries")
 
 

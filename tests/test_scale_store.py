@@ -88,6 +88,32 @@ def test_marks_of_many_records(db, spark):
     assert db.changes().where("dirty").count() == before
 
 
+def test_marks_by_a_frame(db, spark):
+    """Frames of plain ids and of pairs, with ids that repeat; a frame of the log itself."""
+    for name in "ab":
+        db.collection(name, "id", "id bigint").merge(spark.range(4))
+    sync = changes.Sync(db)
+    ids = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("c", 3), ("a", None)], "collection string, record_id bigint")
+    sync.failed(ids, "net")
+    sync.synced(ids.drop("collection").where("record_id > 1"))
+    sync.synchronizing(db.changes().where("phase = 'synced'"))
+    found = {(r["collection"], r["record_id"]): (r["phase"], r["retries"], r["dirty"]) for r in db.changes().collect()}
+    new, gone = ("pending", 0, True), ("synchronizing", 0, False)
+    assert found == {("a", "0"): new, ("a", "1"): ("failed", 1, True), ("a", "2"): gone, ("a", "3"): gone, ("b", "0"): new, ("b", "1"): new, ("b", "2"): ("synchronizing", 1, False), ("b", "3"): gone}
+    assert db.changes().count() == 8
+
+
+def test_sync_states_over_many_suppliers(spark, tmp_path):
+    """A thousand suppliers are told apart as the SQL of the query does."""
+    from brindle.catalog import QUERIES
+
+    rows = spark.range(1000).selectExpr("id AS s_suppkey", "concat('s', id) AS s_name", "1 AS s_nationkey", "0.5D AS s_acctbal")
+    rows.write.parquet(f"file://{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1, "n", 1)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"file://{tmp_path}/nation.parquet")
+    found = {r["record_id"]: (r["phase"], r["retries"]) for r in QUERIES["q_sync_states"](spark, str(tmp_path)).collect()}
+    assert found == {str(i): ("failed", 1) if i % 3 == 0 else ("pending", 0) for i in range(1, 1000, 2)}
+
+
 def test_optimistic_transactions_conflict(db, users):
     users.put({"id": "a", "age": 1})
     slow = db.transaction(optimistic=True)
